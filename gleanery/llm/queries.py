@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import table
+from gleanery.llm.decontaminate import find_benchmark
 from gleanery.llm.line_dedup import line_dedup
 from gleanery.llm.sharding import BLOCK_ROWS, LEAST_BLOCKS, TOLERANCE, histogram_shard
+from gleanery.llm.toxicity import held_out, toxicity, train
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,7 +60,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL["op8_sharding"] = f"""
+#: Op 8 without its checksum, for which DuckDB has no function; the tests hold the query against it.
+SHARDING_SQL = f"""
 WITH keyed AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, text,
     ('0x' || md5(coalesce(text, ''))[1:15])::BIGINT AS k1, ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS k2
@@ -80,7 +83,53 @@ cut AS (
     k2 % greatest({LEAST_BLOCKS}, (SELECT CAST(ceil(n / (40.0 * {BLOCK_ROWS})) AS BIGINT) FROM total)) AS block
   FROM keyed JOIN g2 USING (k1, k2)
 )
-SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+SELECT doc_id, size, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY block, k1, k2) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM placed
 """
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, train(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted")
+    )
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = find_benchmark(docs, table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["length"])
+    return out.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL["op4_decontamination"] = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT *, least(10, len(w)) AS m FROM items WHERE len(w) > 0),
+at_item AS (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized),
+patterns AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS p FROM at_item),
+lengths AS (SELECT DISTINCT m FROM patterns),
+at_doc AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, lengths WHERE len(w) >= m),
+found AS (
+  SELECT DISTINCT doc_id, i, d.m, item_id
+  FROM (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS p FROM at_doc) d JOIN patterns USING (m, p)
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM found) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
