@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
 Both dictionaries share a base of ordinary text. The toxic one adds the spans that mark toxic
-training documents, the ordinary one as many bytes of ordinary spans, so a window's two compressed
-lengths differ only where one set of spans helps. A text is cut into windows at blanks; what the
+training documents, the ordinary one as many bytes that match nothing, so a window's two compressed
+lengths differ only where those spans help. A text is cut into windows at blanks; what the
 toxic dictionary saves in each, summed up per document, is calibrated to a score on training rows
 that the dictionaries have not seen.
 """
@@ -67,7 +67,7 @@ class Scorer:
     def features(self, text: str | None) -> np.ndarray:
         """1, then of the bytes saved in the windows: mean, share of 3 and more, of 5 and more, largest."""
         saved = np.array([len(self.ordinary(w)) - len(self.toxic(w)) for w in windows(text or "")] or [0])
-        over = np.maximum(saved - 1, 0)
+        over = np.maximum(saved, 0)
         return np.array([
             1.0, math.log1p(10 * over.mean()), math.sqrt((saved >= 3).mean()), math.sqrt((saved >= 5).mean()),
             math.log1p(max(saved.max(), 0)), math.log1p(len(saved)),
@@ -136,7 +136,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     step = max(1, len(ordinary) // 2_000)
     words = [_WINDOWS.findall(d) for d in ordinary[::step]]
     plain = b" ".join(w for ws in words for w in ws[:: max(1, len(ws) // 3)][:3])
-    base, fill = plain[:BASE], plain[BASE : BASE + len(spans)]
+    base, fill = plain[:BASE], bytes(len(spans))
     draft = Scorer(Model(spans + base, fill + base, ()))
     x = np.array([draft.features(t) for t, _ in tests])
     y = np.array([y for _, y in tests], dtype=float)
