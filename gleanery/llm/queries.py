@@ -6,12 +6,14 @@ digest columns from what the operator returns.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import table
 from gleanery.llm.decontaminate import find_benchmark
 from gleanery.llm.line_dedup import line_dedup
+from gleanery.llm.packing import pack
 from gleanery.llm.sharding import BLOCK_ROWS, LEAST_BLOCKS, TOLERANCE, histogram_shard
 from gleanery.llm.toxicity import held_out, toxicity, train
 
@@ -133,3 +135,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
