@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import table
 from gleanery.llm.decontaminate import find_benchmark
 from gleanery.llm.line_dedup import line_dedup
+from gleanery.llm.minhash_dedup import near_duplicates
 from gleanery.llm.packing import pack
 from gleanery.llm.sharding import BLOCK_ROWS, LEAST_BLOCKS, TOLERANCE, histogram_shard
 from gleanery.llm.toxicity import held_out, toxicity, train
@@ -142,3 +143,29 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (SELECT doc_id, w, least(5, len(w)) AS k FROM words WHERE len(w) > 0),
+shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM runs)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+inverted AS MATERIALIZED (SELECT doc_id, s FROM shingled),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM inverted a JOIN inverted b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)
+), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM reached r JOIN both_ways e ON e.a = r.id),
+least AS (SELECT id, min(c) AS c FROM reached GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON least.id = doc_id
+"""
