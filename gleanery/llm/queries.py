@@ -16,6 +16,7 @@ from gleanery.llm.line_dedup import line_dedup
 from gleanery.llm.minhash_dedup import near_duplicates
 from gleanery.llm.packing import pack
 from gleanery.llm.sharding import BLOCK_ROWS, LEAST_BLOCKS, TOLERANCE, histogram_shard
+from gleanery.llm.substring_dedup import substring_dedup
 from gleanery.llm.toxicity import held_out, toxicity, train
 
 QUERIES: dict = {}
@@ -169,3 +170,27 @@ least AS (SELECT id, min(c) AS c FROM reached GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON least.id = doc_id
 """
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+), firsts AS (SELECT h, min(doc_id) AS low FROM runs GROUP BY h HAVING min(doc_id) < max(doc_id)),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM runs JOIN firsts USING (h) WHERE doc_id > low),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+joined AS (
+  SELECT p.doc_id, count(*) AS n_words, count(c.pos) AS n_removed,
+    string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS kept
+  FROM placed p LEFT JOIN covered c USING (doc_id, pos) GROUP BY p.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN joined USING (doc_id)
+"""
