@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import table
 from gleanery.llm.decontaminate import find_benchmark
+from gleanery.llm.embed_dedup import similar_vectors
 from gleanery.llm.line_dedup import line_dedup
 from gleanery.llm.minhash_dedup import near_duplicates
 from gleanery.llm.packing import pack
@@ -194,3 +195,22 @@ joined AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN joined USING (doc_id)
 """
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op7_embedding_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reached(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.c FROM reached r JOIN links e ON e.a = r.id),
+least AS (SELECT id, min(c) AS c FROM reached GROUP BY id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings LEFT JOIN counted ON a = vec_id JOIN least ON id = vec_id
+"""
