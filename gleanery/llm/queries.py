@@ -10,12 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.chat_format import CHUNK, rotate
 from gleanery.llm.common import table
 from gleanery.llm.decontaminate import find_benchmark
 from gleanery.llm.embed_dedup import similar_vectors
 from gleanery.llm.line_dedup import line_dedup
 from gleanery.llm.minhash_dedup import near_duplicates
 from gleanery.llm.packing import pack
+from gleanery.llm.quality import co_train
 from gleanery.llm.sharding import BLOCK_ROWS, LEAST_BLOCKS, TOLERANCE, histogram_shard
 from gleanery.llm.substring_dedup import substring_dedup
 from gleanery.llm.toxicity import held_out, toxicity, train
@@ -214,3 +216,35 @@ counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
 FROM embeddings LEFT JOIN counted ON a = vec_id JOIN least ON id = vec_id
 """
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["length"].cast("string"))), ",")
+    return out.select(
+        "conv_id", "participant", "chunk", "n_turns", "n_own", spans.alias("mask"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
+    )
+
+
+SQL["op2_chat_formatting"] = f"""
+WITH t AS (
+  SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), each AS (
+  SELECT t.*, turn // {CHUNK} AS chunk, p.role AS participant, t.role = p.role AS own,
+    '<|turn|>' || CASE WHEN t.role = p.role THEN 'assistant' ELSE 'user ' || t.role END || chr(10) AS head, t.text || '<|end|>' || chr(10) AS body
+  FROM t JOIN (SELECT DISTINCT conv_id, role FROM t) p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, chunk ORDER BY turn, role, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM each
+)
+SELECT conv_id, participant, chunk, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+  coalesce(string_agg(start || ':' || length(body), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask,
+  sha256(string_agg(head || body, '' ORDER BY turn, role, text)) AS text_sha256
+FROM placed GROUP BY conv_id, participant, chunk
+"""
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
