@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.shared import written
+
 # Serials that say nothing; the earth's radius in metres.
 NO_SERIAL = ["", "unknown", "none", "n/a", "0"]
 EARTH = 6_371_000.0
@@ -55,7 +57,8 @@ def greedy_clusters(points: DataFrame, within: float) -> DataFrame:
     labels = points.select(F.col("index").alias("a"), F.col("index").alias("c"))
     while True:
         lower = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        new = labels.join(lower, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("c") > F.coalesce("m", "c")).alias("moved")).checkpoint()
+        new = labels.join(lower, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("c") > F.coalesce("m", "c")).alias("moved"))
+        new = written(new, "clusters")
         if not new.where("moved").limit(1).count():
             break
         labels = new.select("a", "c")

@@ -619,3 +619,99 @@ def sparkline_30d(spark, sf_dir):
 @query("SELECT event_type, sum(value) AS total FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def top5_by_sum(spark, sf_dir):
     return counters.top_by_sum(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+# ---- decoders, copies, streams
+
+
+def _fixtures() -> list[tuple[str, bytes]]:
+    """Small files of many formats, made from bytes here."""
+    from gleanery.sources.samples import SAMPLES
+
+    return [(name, make()) for name, make in SAMPLES.items()]
+
+
+def _sample_files(spark) -> DataFrame:
+    rows = [(n, n, bytearray(b)) for n, b in _fixtures()]
+    return spark.createDataFrame(rows, "file_id string, name string, content binary")
+
+
+@query()
+def inspect_files(spark, sf_dir):
+    """Every fact and problem of the sample files and of all pages and benchmark items as files."""
+    from gleanery.sources.engine import inspect
+    from gleanery.sources.files import from_table
+
+    items = from_table(table(spark, sf_dir, "benchmark").withColumn("id", F.concat(F.lit("item-"), "item_id")), "id", "text").drop("length")
+    rows = inspect(_sample_files(spark).unionByName(items))
+    return rows.where("row <> 'node'").select("file_id", "format", "row", "ordinal", "kind", "text", "start", "length", "complete")
+
+
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '<#comment>', 'g'), '(?is)(<(script|style)\\b[^>]*>).*?</(script|style)>', '\\1', 'g'), '<([a-zA-Z#][a-zA-Z0-9]*)', 1)) AS label FROM pages)
+SELECT lower(label) AS label, count(*) AS n FROM t GROUP BY 1""")
+def html_node_tree(spark, sf_dir):
+    from gleanery.sources.engine import inspect, tables
+    from gleanery.sources.files import from_table
+
+    pages = from_table(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("format", F.lit("html"))
+    nodes = tables(inspect(pages, "format"))["nodes"].where("parent_id is not null")
+    return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def node_depths(spark, sf_dir):
+    """Depth of every node of the pages' trees, by recursive SQL."""
+    from gleanery.sources.engine import inspect, tables
+    from gleanery.sources.files import from_table
+
+    pages = from_table(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("format", F.lit("html"))
+    tables(inspect(pages, "format"))["nodes"].createOrReplaceTempView("gleanery_nodes")
+    return spark.sql("""
+      WITH RECURSIVE d(file_id, node_id, depth) AS (
+        SELECT file_id, node_id, 0 FROM gleanery_nodes WHERE parent_id IS NULL
+        UNION ALL SELECT n.file_id, n.node_id, d.depth + 1 FROM gleanery_nodes n JOIN d ON n.file_id = d.file_id AND n.parent_id = d.node_id
+      ) SELECT depth, count(*) AS n FROM d GROUP BY depth""")
+
+
+@query()
+def clean_receipts(spark, sf_dir):
+    from gleanery.sources.rewrite import clean_copies, receipts
+
+    return receipts(clean_copies(_sample_files(spark)))
+
+
+@query()
+def archive_listing(spark, sf_dir):
+    from gleanery.sources.engine import register
+
+    register(spark)
+    sniff.identified(_sample_files(spark)).where("format = 'zip'").createOrReplaceTempView("gleanery_zips")
+    return spark.sql("SELECT file_id, e.* FROM gleanery_zips, LATERAL archive_entries(content) e")
+
+
+@query()
+def carved_files(spark, sf_dir):
+    from gleanery.sources.engine import carved
+
+    return carved(_sample_files(spark))
+
+
+@query("SELECT CAST(ts::DATE AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_type_counts(spark, sf_dir):
+    from gleanery.streaming.counters import type_counts
+
+    return type_counts(table(spark, sf_dir, "events"))
+
+
+@query("SELECT CAST(ts::DATE AS TIMESTAMP) AS day, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def stream_daily_people(spark, sf_dir):
+    from gleanery.streaming.counters import daily_people
+
+    return daily_people(table(spark, sf_dir, "events"))
+
+
+@query()
+def greedy_clusters(spark, sf_dir):
+    from gleanery.operators.relate import greedy_clusters as clusters
+
+    return clusters(_points(spark, sf_dir), 30.0)
