@@ -169,3 +169,64 @@ def url_path(url: Column) -> Column:
 def unsafe_path(path: Column) -> Column:
     """Paths that leave the folder they are unpacked in."""
     return path.rlike(r"^/|\\|^[A-Za-z]:|(^|/)\.\.(/|$)")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, quoted or not; null where there is none."""
+    hit = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    value = F.regexp_replace(F.regexp_replace(hit, r"^\s[^=]*=\s*", ""), r"""^["']|["']$""", "")
+    return F.when(hit != "", entities(value))
+
+
+def header_parameter(value: Column, name: str) -> Column:
+    """``name=value`` of a header's list, quotes undone; null where there is none."""
+    hit = F.regexp_extract(value, rf"""(?i);\s*{name}\s*=\s*("[^"]*"|[^;\s]+)""", 1)
+    return F.when(hit != "", F.replace(hit, F.lit('"'), F.lit("")))
+
+
+def utc_offset(date: Column) -> Column:
+    """The time zone of a mail's date, as ``UTC±hh:mm``."""
+    z = F.regexp_extract(date, r"([+-][0-9]{4})(?:\s|$)", 1)
+    return F.when(z != "", F.concat(F.lit("UTC"), F.substring(z, 1, 3), F.lit(":"), F.substring(z, 4, 2)))
+
+
+def human_size(n: Column) -> Column:
+    """Bytes in words: B, KB, MB, GB by 1024, one decimal below ten."""
+    step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
+    x = n / F.pow(F.lit(1024.0), step)
+    shown = F.when((step == 0) | (x >= 10), F.format_string("%d", F.floor(x).cast("long"))).otherwise(F.format_string("%.1f", F.floor(x * 10) / 10))
+    return F.concat(shown, F.lit(" "), F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB"])), step + 1))
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number with ``places`` decimals, half away from zero by its shortest decimal form, no sign on zero."""
+    text = F.round(value.cast("decimal(30,12)"), places).cast(f"decimal(30,{places})").cast("string")
+    plain = F.when(text.rlike(r"^-0(\.0*)?$"), F.substring(text, 2, 40)).otherwise(text)
+    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").otherwise(plain)
+
+
+@F.pandas_udf("string")
+def shown_host(host):
+    """A host with each punycode label as its letters; labels that don't decode stay."""
+
+    def letters(label: str) -> str:
+        try:
+            return label[4:].encode().decode("punycode") if label.startswith("xn--") else label
+        except (UnicodeError, ValueError):
+            return label
+
+    return host.map(lambda h: None if h is None else ".".join(map(letters, h.split("."))))
+
+
+@F.pandas_udf("string")
+def decoded_words(value):
+    """Encoded words of a mail header (RFC 2047) as text; what doesn't decode stays."""
+    from email.header import decode_header, make_header
+
+    def plain(v):
+        try:
+            return None if v is None else str(make_header(decode_header(v)))
+        except (LookupError, ValueError):
+            return v
+
+    return value.map(plain)

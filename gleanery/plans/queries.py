@@ -388,9 +388,9 @@ def mail_hops(spark, sf_dir):
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(s, '[",' || chr(13) || chr(10) || ']') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell
 FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '^[\t\r ]*[=+\-@]') THEN '''' || text ELSE text END AS s FROM (
-  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '=' || left(text, 40) ELSE left(text, 40) END AS text FROM documents))""")
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '=' || text ELSE text END AS text FROM documents))""")
 def csv_guard(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("="), F.substring("text", 1, 40))).otherwise(F.substring("text", 1, 40))
+    t = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", X.csv_cell(t).alias("cell"))
 
 
@@ -438,21 +438,26 @@ def verify_totals(spark, sf_dir):
     return verify.comparison_totals(verify_compare(spark, sf_dir))
 
 
-@query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'only_a' WHEN a.o_orderkey IS NULL THEN 'only_b' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS change
-FROM (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0) a
-FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 3 <> 0) b USING (o_orderkey)""")
+CUT = "1995-06-17"
+
+
+@query(f"""SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS change
+FROM (SELECT o_custkey AS k, max(o_orderpriority) AS v FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}' GROUP BY 1) a
+FULL JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS v FROM orders WHERE NOT o_orderdate < TIMESTAMP '{CUT}' GROUP BY 1) b ON a.k = b.k""")
 def structural_diff(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("v"))
-    b = o.where("o_orderkey % 3 <> 0").withColumn("v", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("v")))
-    return verify.structural_diff(o.where("o_orderkey % 5 <> 0"), b, ["o_orderkey"], "v")
+    """Customers before and from a day on: gone, new, or with another highest priority."""
+    o = table(spark, sf_dir, "orders").withColumn("early", F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz"))
+    side = lambda x: o.where(x).groupBy("o_custkey").agg(F.max("o_orderpriority").alias("v"))
+    return verify.structural_diff(side(F.col("early")), side(~F.col("early")), ["o_custkey"], "v")
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_returnflag AS kind, list_sort(list(l_linenumber)) AS v FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY 1, 2),
-b AS (SELECT l_orderkey, l_returnflag AS kind, list_sort(list(l_linenumber)) AS v FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2)
-SELECT l_orderkey, kind, CASE WHEN b.v IS NULL THEN 'only_a' WHEN a.v IS NULL THEN 'only_b' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (l_orderkey, kind)""")
+@query(f"""WITH a AS (SELECT l_suppkey, l_returnflag AS kind, list_sort(list(l_linenumber)) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}' GROUP BY 1, 2),
+b AS (SELECT l_suppkey, l_returnflag AS kind, list_sort(list(l_linenumber)) AS v FROM lineitem WHERE NOT l_shipdate < TIMESTAMP '{CUT}' GROUP BY 1, 2)
+SELECT l_suppkey, kind, CASE WHEN b.v IS NULL THEN 'only_a' WHEN a.v IS NULL THEN 'only_b' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (l_suppkey, kind)""")
 def semantic_diff(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("kind"), "l_linenumber")
-    return verify.semantic_diff(r.where("l_linenumber % 4 <> 0"), r.where("l_linenumber % 3 <> 0"), "l_orderkey", "kind", "l_linenumber")
+    """Return flags of each supplier before and from a day on, with their line numbers as values."""
+    r = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("kind"), "l_linenumber", (F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")).alias("early"))
+    return verify.semantic_diff(r.where("early"), r.where("not early"), "l_suppkey", "kind", "l_linenumber")
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS site, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -715,3 +720,93 @@ def greedy_clusters(spark, sf_dir):
     from gleanery.operators.relate import greedy_clusters as clusters
 
     return clusters(_points(spark, sf_dir), 30.0)
+
+
+# ---- pages as boxes, made from events: one page a user, glyphs and fills by event
+
+
+def _boxes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select(F.lit("f").alias("file_id"), F.col("user_id").alias("page"), F.col("event_id").alias("ordinal"))
+    x, y = (F.col("ordinal") * 37 % 400).cast("double"), (F.col("ordinal") * 53 % 300).cast("double")
+    glyphs = e.where("ordinal % 3 <> 0").select(*e.columns, x.alias("l"), y.alias("b"), (x + 8).alias("r"), (y + 10).alias("t"), (F.col("ordinal") % 2 == 0).alias("dark"), (x > 390).alias("off_page"))
+    fills = e.where("ordinal % 3 = 0").select(
+        *e.columns, x.alias("l"), y.alias("b"), (x + 60).alias("r"), (y + 40).alias("t"), (F.col("ordinal") % 4 / 4).alias("lightness"), (1 - F.col("ordinal") % 5 / 10).alias("alpha")
+    )
+    return glyphs, fills
+
+
+_BOXES = """e AS (SELECT user_id AS page, event_id AS ordinal, (event_id * 37 % 400)::DOUBLE AS l, (event_id * 53 % 300)::DOUBLE AS b FROM events),
+g AS (SELECT *, l + 8 AS r, b + 10 AS t, ordinal % 2 = 0 AS dark, l > 390 AS off_page FROM e WHERE ordinal % 3 <> 0),
+f AS (SELECT *, l + 60 AS r, b + 40 AS t, ordinal % 4 / 4 AS lightness, 1 - ordinal % 5 / 10 AS alpha FROM e WHERE ordinal % 3 = 0),
+met AS (SELECT g.page, g.ordinal AS go, g.dark AS gdark, f.ordinal AS fo, f.lightness <= 0.25 AS fdark, f.alpha >= 0.9 AS opaque FROM g JOIN f ON g.page = f.page
+  AND greatest(least(g.r, f.r) - greatest(g.l, f.l), 0) * greatest(least(g.t, f.t) - greatest(g.b, f.b), 0) >= 0.5 * 80)"""
+
+
+@query(f"""WITH {_BOXES}, last AS (SELECT page, go, any_value(gdark) AS gdark, arg_max(fdark, fo) AS on_dark FROM met WHERE opaque AND fo < go GROUP BY 1, 2)
+SELECT page, go AS ordinal FROM met WHERE opaque AND fdark AND fo > go UNION SELECT page, go FROM last WHERE on_dark AND gdark""")
+def covered_glyphs(spark, sf_dir):
+    from gleanery.operators.geometry import covered_glyphs as covered
+
+    return covered(*_boxes(spark, sf_dir)).drop("file_id")
+
+
+@query(f"WITH {_BOXES} SELECT DISTINCT page, go AS ordinal FROM met")
+def marked_glyphs(spark, sf_dir):
+    from gleanery.operators.geometry import marked_glyphs as marked
+
+    return marked(*_boxes(spark, sf_dir)).drop("file_id")
+
+
+@query(f"""WITH {_BOXES}, n AS (SELECT *, CASE WHEN lag(b) OVER w IS NULL OR abs(b - lag(b) OVER w) > 0.01 OR l - lag(r) OVER w > 2 THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY page ORDER BY ordinal)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY ordinal) AS word FROM n)
+SELECT page, word::BIGINT AS word, count(*) AS n FROM s GROUP BY 1, 2 HAVING bool_and(off_page)""")
+def hidden_words(spark, sf_dir):
+    from gleanery.operators.geometry import hidden_not_cut
+
+    return hidden_not_cut(_boxes(spark, sf_dir)[0]).drop("file_id")
+
+
+@query("""SELECT l_orderkey AS file_id, l_suppkey AS number, max(l_linenumber) AS position FROM lineitem GROUP BY 1, 2""")
+def latest_object_versions(spark, sf_dir):
+    from gleanery.operators.geometry import latest_versions
+
+    return latest_versions(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("number"), F.col("l_linenumber").alias("position")))
+
+
+@query("""SELECT user_id AS stream, event_id AS id, event_id AS pos, max(CASE WHEN event_id % 10 = 0 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS checkpoint FROM events""")
+def checkpoint_lookup(spark, sf_dir):
+    from gleanery.operators.geometry import last_checkpoint
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("pos"), F.col("event_id").alias("id"))
+    return last_checkpoint(e, e.where("pos % 10 = 0").select("stream", "pos"))
+
+
+@query("""SELECT p_partkey, p_type, CASE WHEN p_type LIKE 'STANDARD%' THEN 'standard' WHEN p_type LIKE '%STEEL' THEN 'steel' WHEN p_type LIKE '%A%' THEN 'a' END AS doc FROM part""")
+def label_match(spark, sf_dir):
+    from gleanery.operators.geometry import first_label_match
+
+    patterns = spark.createDataFrame([(0, "STANDARD*", "standard"), (1, "*STEEL", "steel"), (2, "*A*", "a")], "position int, pattern string, doc string")
+    return first_label_match(table(spark, sf_dir, "part").select("p_partkey", "p_type"), patterns, "p_type").select("p_partkey", "p_type", "doc")
+
+
+@query("SELECT s_suppkey, s_acctbal::VARCHAR::DECIMAL(30, 12)::DECIMAL(30, 1)::VARCHAR AS shown FROM supplier")
+def fixed_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", X.fixed(F.col("s_acctbal"), 1).alias("shown"))
+
+
+@query("""WITH n AS (SELECT doc_id, strlen(coalesce(text, '')) * 37 AS n FROM documents), s AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 ELSE 2 END AS k, n / CASE WHEN n < 1024 THEN 1.0 WHEN n < 1048576 THEN 1024.0 ELSE 1048576.0 END AS x FROM n)
+SELECT doc_id, CASE WHEN k = 0 OR x >= 10 THEN floor(x)::BIGINT::VARCHAR ELSE printf('%.1f', floor(x * 10) / 10) END || ' ' || ['B', 'KB', 'MB'][k + 1] AS shown FROM s""")
+def human_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.human_size(F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * 37).alias("shown"))
+
+
+@query("SELECT page_id, lower(regexp_extract(html, '(?i)<html\\s+lang\\s*=\\s*\"([^\"]*)\"', 1)) AS lang FROM pages")
+def tag_attributes(spark, sf_dir):
+    tag = F.regexp_extract("html", "(?i)(<html[^>]*>)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.lower(X.attribute(tag, "lang")), F.lit("")).alias("lang"))
+
+
+@query()
+def shown_hosts(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(X.host(F.col("url")).alias("host")).unionByName(spark.createDataFrame([("xn--exmple-bank-zij.com",)], "host string"))
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", X.shown_host("host"))
