@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.dims import NOT_DOMAINS, NOT_PEOPLE, POSED, RISKY, SHARED_SUFFIXES, SHORTENERS
 
@@ -205,7 +206,7 @@ def fixed(value: Column, places: int) -> Column:
     return F.when(F.isnan(value), "NaN").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shown_host(host):
     """A host with each punycode label as its letters; labels that don't decode stay."""
 
@@ -218,7 +219,7 @@ def shown_host(host):
     return host.map(lambda h: None if h is None else ".".join(map(letters, h.split("."))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded_words(value):
     """Encoded words of a mail header (RFC 2047) as text; what doesn't decode stays."""
     from email.header import decode_header, make_header

@@ -810,3 +810,20 @@ def tag_attributes(spark, sf_dir):
 def shown_hosts(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(X.host(F.col("url")).alias("host")).unionByName(spark.createDataFrame([("xn--exmple-bank-zij.com",)], "host string"))
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", X.shown_host("host"))
+
+
+@query()
+def structure_export(spark, sf_dir):
+    from gleanery.sources.engine import structures
+
+    return structures(_sample_files(spark))
+
+
+@query()
+def film_rendering(spark, sf_dir):
+    """Each benchmark text as a raster of grey pixels one row high, rendered as a negative."""
+    from gleanery.sources.film import rendered
+
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.expr("octet_length(text) div 4").cast("int").alias("width"), F.lit(1).alias("height"), F.encode("text", "UTF-8").alias("raw"))
+    rows = b.select("file_id", "width", "height", F.substring("raw", F.lit(1), 4 * F.col("width")).alias("pixels"))
+    return rendered(rows, "color-negative").select("file_id", F.octet_length("rendered").alias("bytes"), F.crc32("rendered").alias("crc32"))

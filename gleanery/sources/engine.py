@@ -139,3 +139,32 @@ def carved(files: DataFrame, most: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["file_id", "format", "start"])
 
     return files.select(F.col("file_id").cast("string"), "content").mapInArrow(found, "file_id string, format string, start bigint")
+
+
+def structure(found, name: str, format_: str, size: int) -> str:
+    """A file's tree as nested JSON, with what it reveals and what is wrong with it."""
+    import json
+
+    parts = [{"label": label, "offset": s, "length": n, **({"value": v} if v else {})} for _, _, label, s, n, v in found.nodes]
+    for i, (_, parent, *_rest) in enumerate(found.nodes):
+        if parent is not None:
+            parts[parent].setdefault("children", []).append(parts[i])
+    return json.dumps({
+        "file": name, "format": format_, "size": size, "reveals": [{"kind": k, "text": t} for k, t, _ in found.facts],
+        "problems": [{"label": x, "concern": c, "offset": s, "length": n} for c, x, s, n in found.problems], "structure": parts[0],
+    }, indent=1)
+
+
+def structures(files: DataFrame) -> DataFrame:
+    """``file_id, format, json`` of each file's structure."""
+
+    def made(batches):
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                ident, name, form, content = (b.column(c)[i].as_py() for c in range(4))
+                rows.append((ident, form, structure(decode(content, form), name, form, len(content or b""))))
+            columns = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["file_id", "format", "json"])
+
+    return identified(files).select(F.col("file_id").cast("string"), "name", "format", "content").mapInArrow(made, "file_id string, format string, json string")

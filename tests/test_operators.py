@@ -91,3 +91,34 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     e.write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
     assert sorted(run_once(type_counts(stream), "counted").collect()) == sorted(type_counts(e).collect())
+
+
+def test_film():
+    import numpy as np
+    import pytest
+
+    from gleanery.sources.film import ranked, render
+
+    ramp = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, axis=1)
+    same, _ = render(ramp, "positive")
+    assert np.abs(same[:, 0].astype(int) - ramp[:, 0]).max() <= 1 and (same[:, 3] == 255).all()
+    turned, base = render(ramp, "mono-negative")
+    assert base == (243, 243, 243) and turned[10, 0] > turned[200, 0]
+    assert ranked(np.array([1, 1, 1, 1]), 0.5) == 1
+    with pytest.raises(ValueError):
+        render(ramp, "positive", exposure=3.0)
+
+
+def test_structures_and_tables(spark):
+    import json
+
+    from gleanery.sources import samples as S
+    from gleanery.sources.engine import inspect, members, structures, tables
+
+    files = spark.createDataFrame([("a", "a.jpg", bytearray(S.jpeg())), ("b", "b.docx", bytearray(S.docx())), ("c", "c", None)], "file_id string, name string, content binary")
+    t = tables(inspect(files))
+    assert {r["file_id"]: r["metadata_complete"] for r in t["files"].collect()} == {"a": True, "b": True, "c": True}
+    assert t["facts"].where("kind = 'serial'").count() == 1 and t["nodes"].where("parent_id is null").count() == 3
+    got = {r["file_id"]: json.loads(r["json"]) for r in structures(files).collect()}
+    assert got["a"]["structure"]["children"] and got["c"]["size"] == 0
+    assert members(files).where("parent_file_id = 'b'").count() == 3
