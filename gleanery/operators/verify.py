@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gleanery.shared import written
+
 
 def _stable(value: Column) -> Column:
     return F.coalesce(F.trim(value) != "", F.lit(False))
@@ -26,6 +28,7 @@ def compare_copies(source: DataFrame, copy: DataFrame, snapshots: DataFrame, con
     """
     null_safe = [F.coalesce("value", F.lit("")).alias("v")]
     base = ["file_id", "kind", "scope"]
+    source, copy = written(source, "source"), written(copy, "copy")  # each pass reads them again
     s = source.join(snapshots, "file_id").select(*base, "ordinal", "value", *null_safe, (F.col("source_format") == F.col("copy_format")).alias("same"))
     c = copy.join(snapshots, "file_id").select(*base, "ordinal", "value", *null_safe, (F.col("source_format") == F.col("copy_format")).alias("same"))
     s1 = _numbered(s, [*base, "v"]).withColumn("side", F.lit("s"))
@@ -37,7 +40,7 @@ def compare_copies(source: DataFrame, copy: DataFrame, snapshots: DataFrame, con
         both = x.join(y, [*keys, "rn"])
         left = a.join(both.select("file_id", F.col("os").alias("ordinal")), ["file_id", "ordinal"], "left_anti")
         right = b.join(both.select("file_id", F.col("oc").alias("ordinal")), ["file_id", "ordinal"], "left_anti")
-        return both, left.drop("rn"), right.drop("rn")
+        return both, written(left.drop("rn"), "left"), written(right.drop("rn"), "right")
 
     row = lambda df, status, reason, unexpected=False: df.select(
         "file_id", "kind", F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"),
