@@ -827,3 +827,17 @@ def film_rendering(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.expr("octet_length(text) div 4").cast("int").alias("width"), F.lit(1).alias("height"), F.encode("text", "UTF-8").alias("raw"))
     rows = b.select("file_id", "width", "height", F.substring("raw", F.lit(1), 4 * F.col("width")).alias("pixels"))
     return rendered(rows, "color-negative").select("file_id", F.octet_length("rendered").alias("bytes"), F.crc32("rendered").alias("crc32"))
+
+
+@query()
+def pdf_page_marks(spark, sf_dir):
+    from gleanery.sources.pages import page_marks
+
+    return page_marks(sniff.identified(_sample_files(spark)).where("format = 'pdf'"))
+
+
+@query()
+def pdf_covered_text(spark, sf_dir):
+    from gleanery.sources.pages import covered_text
+
+    return covered_text(sniff.identified(_sample_files(spark)).where("format = 'pdf'"))

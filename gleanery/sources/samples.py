@@ -108,3 +108,14 @@ SAMPLES = {
     "cut.jpg": lambda: jpeg(b""), "a.gif": gif, "a.wav": wav, "a.docx": docx, "cut.docx": lambda: docx()[:-30], "a.flac": flac, "a.mp3": mp3, "a.mp4": mp4, "a.wasm": wasm, "a.pdf": pdf,
     "a.rtf": rtf, "a.eml": eml, "a.svg": svg, "a.tif": exif, "bin": lambda: b"x /Users/olena/lib/ y me@site.org z", "empty": lambda: b"",
 }
+
+
+def drawn_pdf() -> bytes:
+    """A page with a name under a black box, a word beside it, and one off the page."""
+    content = b"BT /F1 10 Tf 50 700 Td (SECRET) Tj ET BT /F1 10 Tf 200 700 Td (open) Tj ET BT /F1 10 Tf 900 700 Td (far) Tj ET 0 g 48 695 40 20 re f"
+    packed = zlib.compress(content)
+    body = b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream"
+    return b"%PDF-1.4\n1 0 obj\n<< /Type /Page /MediaBox [0 0 612 792] /Contents 2 0 R >>\nendobj\n2 0 obj\n" + body + b"\nendobj\n%%EOF\n"
+
+
+SAMPLES["drawn.pdf"] = drawn_pdf

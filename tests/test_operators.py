@@ -122,3 +122,12 @@ def test_structures_and_tables(spark):
     got = {r["file_id"]: json.loads(r["json"]) for r in structures(files).collect()}
     assert got["a"]["structure"]["children"] and got["c"]["size"] == 0
     assert members(files).where("parent_file_id = 'b'").count() == 3
+
+
+def test_covered_text(spark):
+    from gleanery.sources import samples as S
+    from gleanery.sources.pages import covered_text, painted
+
+    files = spark.createDataFrame([("a", bytearray(S.drawn_pdf())), ("b", bytearray(b"%PDF-1.4 nothing")), ("c", None)], "file_id string, content binary")
+    assert [(r["file_id"], r["page"], r["text"]) for r in covered_text(files).collect()] == [("a", 0, "SECRET")]
+    assert "".join(r[7] for r in painted(S.drawn_pdf()) if r[-1] and r[1] == "glyph") == "far"
