@@ -143,16 +143,17 @@ def co_train(
     Nulls in any column are a category, null and empty texts have no trigrams. Where labels of one class are missing, the
     scores stay as the sums have them. An empty table gives none.
     """
-    fold = F.pmod(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")), F.lit(5))
+    fold_of = lambda c: F.coalesce(F.pmod(F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")), F.lit(5)), F.lit(0))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.min(label_col).cast("int").alias("label"))
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *meta_columns(id_col, text_col, source_col, lang_col)
-    ).withColumn("fold", F.coalesce(fold, F.lit(0)))
+    ).withColumn("fold", fold_of("id"))
     learned = rows.join(marks, F.col("id") == F.col("_of"), "left").drop("_of")
     known = learned.where("label is not null and fold > 0")
     open_ = learned.where("label is null or fold = 0").withColumn("y", F.lit(None).cast("int"))
     mine = known.where("fold > 1").withColumn("y", F.col("label"))
-    tests = known.where("fold = 1").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)
+    picked = marks.where(fold_of("_of") == 1).orderBy(F.xxhash64("_of"), "_of").limit(CALIBRATION_ROWS)
+    tests = rows.join(F.broadcast(picked), F.col("id") == F.col("_of"))
 
     def calibrated(model: Model) -> Model:
         got = np.array([tuple(r) for r in _scored(tests, model, ["label"]).collect()], dtype=float).reshape(-1, 3)
