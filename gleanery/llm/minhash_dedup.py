@@ -15,6 +15,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,6 @@ from gleanery.llm.links import components
 
 SHINGLE, PERCENT = 5, 85
 PERMUTATIONS, ROWS = 64, 4
-#: Counters by which shingles are ordered from rare to frequent; any order is right, this one is fast.
-COUNTERS = 1 << 16
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -151,40 +150,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _rare_pairs(members: DataFrame, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members that buckets put together, that no link connects yet, and that can be linked.
 
-    Two sets that are linked share one of the first n - ceil(percent * n / 100) + 1 shingles of each, in any
-    common order. The order is from rare to frequent, so a group's common shingles seldom count. Of
+    All sets are put in one order, from rare to frequent shingles, so those in one set only come first.
+    Linked sets have so much in common that after their first common shingle, itself included, both
+    still have percent / (100 + percent) of both sizes together. Only shingles with so many behind
+    them are joined, and only where both sides still have enough: a group's common shingles, which stand last, seldom do. Of
     the members that share such a shingle, those outside its largest component meet all others.
     """
-    spark = members.sparkSession
     placed = members.select("bucket", "id").join(at, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
     open_ = written(placed.join(split, "bucket").select("id", "c").distinct(), "open")
-    cast = open_.join(sets, "id")
-    counts = np.zeros(COUNTERS, np.int64)
-    for i, n in cast.select(F.explode("set").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("i")).count().collect():
-        counts[i] = n
-    order = spark.sparkContext.broadcast(counts)
-    out = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "c", "n", "s")])
-
-    def first(batches):
-        for b in batches:
-            ids, cs, ns, ss = [], [], [], []
-            for i, c, n, s in zip(*(b.column(j).to_pylist() for j in range(3)), b.column(3)):
-                x = np.asarray(s.values)
-                x = x[np.lexsort((x, order.value[x % COUNTERS]))][: n - -(-percent * n // 100) + 1]
-                ids.append(np.full(len(x), i))
-                cs.append(np.full(len(x), c))
-                ns.append(np.full(len(x), n))
-                ss.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (ids, cs, ns, ss)], names=out.names
-            )
-
-    prefix = written(cast.select("id", "c", "n", "set").mapInArrow(first, out), "prefix")
+    long = open_.join(sets, "id").select("id", "c", "n", F.explode("set").alias("s"))
+    shared = long.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    behind = F.row_number().over(W.partitionBy("id").orderBy(F.desc("df"), "s")).alias("rest")
+    ranked = long.join(shared, "s").select("id", "c", "n", "s", behind)
+    prefix = written(ranked.where(100 * F.col("rest") >= percent * F.col("n")), "prefix")
     sized = prefix.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
     main = sized.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
     met = written(prefix.join(main.select("s", "main"), "s"), "met")
-    left = met.where("c <> main").select("s", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    right = met.select("s", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
-    return left.join(right, "s").where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = met.where("c <> main").select("s", *[F.col(x).alias(x + "a") for x in ("id", "c", "n", "rest")])
+    right = met.select("s", *[F.col(x).alias(x + "b") for x in ("id", "c", "n", "rest")])
+    enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "s").where(enough & (F.col("ca") != F.col("cb")))
+    return pairs.select(F.greatest("ida", "idb").alias("a"), F.least("ida", "idb").alias("b")).distinct()
