@@ -24,6 +24,8 @@ from gleanery.llm import wordhash
 from gleanery.llm.common import BROADCAST_ROWS, written
 
 WINDOW, ANCHOR = 50, 30
+#: Factors in all, of three numbers each, up to which they are broadcast.
+BROADCAST_FACTORS = 500_000
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -144,7 +146,7 @@ def substring_dedup(
     added = ["n_words", "n_removed", "factors"]
     names = [c for c in columns or docs.columns if c not in (*added, text_col)]
     factors = repeated_factors(docs, window=window, id_col=id_col, text_col=text_col)
-    few = factors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = factors.agg(F.coalesce(F.sum(F.size("factors")), F.lit(0))).first()[0] <= BROADCAST_FACTORS
     side = F.broadcast(factors) if few else factors
     joined = docs.alias("d").join(side.alias("f"), F.col(f"d.`{id_col}`").cast("long") == F.col("f.id"), "left")
     schema = T.StructType(
