@@ -78,6 +78,7 @@ def repeated_factors(
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(of, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=head.names
             )
+        wordhash.forget()
 
     index = written(bare.mapInArrow(read, head), "anchors")
     same = index.where("of is not null").groupBy("of").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
@@ -86,7 +87,9 @@ def repeated_factors(
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = index.where("of is not null").join(F.broadcast(gone) if few else gone, "id", "left_anti")
     placed = kept.select("id", F.explode("anchors").alias("a"))
-    shared = placed.groupBy("a").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a")
+    # What is joined by a hash is written first: then no aggregate stands between exchange and join, and
+    # adaptive execution can split a hot hash.
+    shared = written(placed.groupBy("a").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a"), "shared")
     marks = written(placed.join(shared, "a").groupBy("id").agg(F.collect_set("a").alias("shared")), "marks")
     few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = marks.select("id")
@@ -100,9 +103,11 @@ def repeated_factors(
                 at = np.flatnonzero(np.isin(anchors(h, window, anchor), np.asarray(s.values)))
                 prints = wordhash.windows(h, window)[at].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int64()), pa.array(at), pa.array(prints)], names=runs.names)
+        wordhash.forget()
 
     looked = written(read_again.select("id", "text", "shared").mapInArrow(indexed, runs), "runs")
-    block = looked.groupBy("print").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("print", "low")
+    firsts = looked.groupBy("print").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    block = written(firsts.select("print", "low"), "block")
     found = looked.join(block, "print").where("id > low").select("id", "position", "low")
     # The number of partitions is left to the session, so that it follows the input.
     dealt = found.repartition("id").sortWithinPartitions("id", "position")
