@@ -79,6 +79,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(of, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=out.names
             )
+        wordhash.forget()
 
     bare = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signatures = written(bare.mapInArrow(signed, out), "signatures")
@@ -132,6 +133,7 @@ def _sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=out.names
             )
+        wordhash.forget()
 
     ids = written(ids, "compared")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

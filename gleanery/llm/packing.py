@@ -27,7 +27,7 @@ LENGTH, END = 4096, 2
 #: is the most for which the largest queue of any mixture has a token for every other one's deficit.
 QUEUES = 64
 #: Pieces of words that a Python worker remembers with their ids.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: The pre-tokenizer's pattern in the tokenizer file (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -8,7 +8,7 @@ import xxhash
 #: A-Z lower-cased, other bytes as they are.
 _LOWER = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 #: Words that a Python worker remembers with their hashes.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Odd multipliers of the two polynomials over words (fixed values, of no meaning).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -25,6 +25,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Give the memory back at the end of a task; Python workers outlive their stages."""
+    _hashes.clear()
+
+
 def split(text: str | None, lower: bool) -> list[bytes]:
     """Words between ASCII blanks, as UTF-8."""
     data = (text or "").encode("utf-8", "surrogatepass")
