@@ -1,10 +1,11 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Both dictionaries share a base of ordinary text. The toxic one adds the spans that mark toxic
-training documents, the ordinary one as many bytes that match nothing, so a window's two compressed
-lengths differ only where those spans help. A text is cut into windows at blanks; what the
-toxic dictionary saves in each, summed up per document, is calibrated to a score on training rows
-that the dictionaries have not seen.
+Grams of words mark toxic text, if among the training documents, or among those of a group alike (as
+of one language), they stand in toxic ones far likelier than in ordinary ones. The toxic dictionary
+has the spans made of them, the ordinary one as many bytes that match nothing; both share a lead of
+ordinary text. A text's words without a mark save nothing and are left out, the others cut into
+windows at blanks; what the toxic dictionary saves in those, summed up per document, is calibrated
+to a score on training rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import heapq
 import math
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of a window, of the shared base, of the added spans, and of the n-grams that find spans.
-WINDOW, BASE, SPANS, GRAM = 96, 12_288, 4_096, 5
+#: Bytes of a window, of the shared lead, of the spans, and of the shortest grams.
+WINDOW, LEAD, SPANS, GRAM = 96, 80, 4_096, 5
 #: A gram marks toxic text if it stands in this share of the toxic training documents, in so many of
 #: them at least, and so many times likelier there than in ordinary ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.02, 3, 15
+#: Bound on the expected number of grams that pass by chance, for those longer than ``GRAM`` or of a group.
+MOST_CHANCE = 1e-4
+#: Places of a document's profile, and documents of each class that a group has at least.
+PROFILE, LEAST_GROUP = 1_024, 20
 #: Bounds of the training sample: documents of each class, and characters taken of each. Only the fit
 #: is bounded; every whole text is scored.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1_500, 4_500, 65_536
 #: Weight of a toxic row in the calibration.
 TOXIC_WEIGHT = 2.0
+#: Words that a Python worker remembers as marked or not.
+REMEMBERED = 200_000
 
 _WINDOWS = re.compile(rb"\S.{0,%d}\S(?!\S)|\S+" % (WINDOW - 2), re.S)
 
@@ -41,6 +48,8 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...]
+    marks: frozenset[bytes]
+    lead: bytes
 
 
 def windows(text: str) -> list[bytes]:
@@ -62,50 +71,160 @@ def _compressor(content: bytes):
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
-        self.weights = np.array(model.weights)
+        self.weights, self.lead, self.marks = np.array(model.weights), model.lead + b" ", model.marks
+        self.heads = frozenset(g[:GRAM] for g in model.marks)
+        self.sizes = sorted({len(g) for g in model.marks})
+        self.known: dict[bytes, bool] = {}
+
+    def marked(self, word: bytes) -> bool:
+        known = self.known.get(word)
+        if known is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            w = b" " + word + b" "
+            at = (i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in self.heads)
+            known = self.known[word] = any(w[i : i + n] in self.marks for i in at for n in self.sizes)
+        return known
 
     def features(self, text: str | None) -> np.ndarray:
-        """1, then of the bytes saved in the windows: mean, share of 3 and more, of 5 and more, largest."""
-        saved = np.array([len(self.ordinary(w)) - len(self.toxic(w)) for w in windows(text or "")] or [0])
-        over = np.maximum(saved, 0)
-        return np.array([
-            1.0, math.log1p(10 * over.mean()), math.sqrt((saved >= 3).mean()), math.sqrt((saved >= 5).mean()),
-            math.log1p(max(saved.max(), 0)), math.log1p(len(saved)),
-        ])
+        """1, then of the bytes saved: two measures of their mean over all windows of the text and of their sum; the number of windows."""
+        ws = windows(text or "")
+        held = b" ".join(x for w in ws for x in w.split() if self.marked(x))
+        saved = sum(max(0, len(self.ordinary(x)) - len(self.toxic(x))) for x in (self.lead + w + b" " for w in _WINDOWS.findall(held)))
+        n = max(1, len(ws))
+        return np.array([1.0, math.log1p(10 * saved / n), math.log1p(saved), math.sqrt(saved / n), math.log1p(n)])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + math.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
 
-def _grams(data: bytes) -> set[bytes]:
-    return {data[i : i + GRAM] for i in range(len(data) - GRAM + 1)}
+def _profiles(flat: list[bytes]) -> np.ndarray:
+    """A unit vector for each document: roots of the counts of its pairs of bytes, folded to ``PROFILE`` places."""
+    out = np.zeros((len(flat), PROFILE), np.float32)
+    for row, d in zip(out, flat):
+        b = np.frombuffer(d, np.uint8).astype(np.int64)
+        row += np.sqrt(np.bincount((b[:-1] * 256 + b[1:]) * 40_503 % 65_521 % PROFILE, minlength=PROFILE))
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def _groups(flat: list[bytes], toxic: np.ndarray) -> list[np.ndarray]:
+    """All documents, then ever finer halves of them by likeness of their profiles, which tells languages apart.
+    Halves with fewer than ``LEAST_GROUP`` documents of a class are not split off."""
+    profiles, out, todo = _profiles(flat), [], [np.arange(len(flat))]
+    while todo:
+        rows = todo.pop(0)
+        out.append(rows)
+        p = profiles[rows]
+        far = p[np.argmin(p @ p.mean(axis=0))]
+        ends = np.stack([far, p[np.argmin(p @ far)]])
+        side = None
+        for _ in range(30):
+            now = np.argmax(p @ ends.T, axis=1)
+            if side is not None and (now == side).all() or not 0 < now.sum() < len(now):
+                break
+            side = now
+            ends = np.stack([p[side == k].mean(axis=0) for k in (0, 1)])
+            ends /= np.sqrt((ends * ends).sum(axis=1, keepdims=True))
+        if side is None:
+            continue
+        halves = [rows[side == k] for k in (0, 1)]
+        if all(min(toxic[h].sum(), (~toxic[h]).sum()) >= LEAST_GROUP for h in halves):
+            todo += halves
+    return out
+
+
+def _marks_of(toxic: list[set[bytes]], ordinary: list[set[bytes]], others: list[set[bytes]]) -> dict[bytes, float]:
+    """Marking grams of documents given as sets of words: of 5 bytes and more, up to whole words. A gram
+    that marks is not made longer; one that does not is, as long as enough toxic documents have it. What
+    is common in ``others``, the ordinary documents outside the group, marks nothing."""
+    least = max(LEAST_DOCS, LEAST_SHARE * len(toxic))
+    at, elsewhere, outside = defaultdict(list), defaultdict(list), defaultdict(list)
+    for held, docs in ((at, toxic), (elsewhere, ordinary), (outside, others)):
+        for k, ws in enumerate(docs):
+            for w in ws:
+                held[w].append(k)
+    found: dict[bytes, float] = {}
+    size, alive = GRAM, None
+    while alive is None or alive:
+        seen = defaultdict(set)
+        for w, ks in at.items():
+            for g in {w[i : i + size] for i in range(len(w) - size + 1)}:
+                if alive is None or g[1:] in alive and g[:-1] in alive:
+                    seen[g].update(ks)
+        seen = {g: len(ks) for g, ks in seen.items() if len(ks) >= least}
+        other, far = defaultdict(set), defaultdict(set)
+        for held, docs in ((elsewhere, other), (outside, far)):
+            for w, ks in held.items():
+                for i in range(len(w) - size + 1):
+                    if (g := w[i : i + size]) in seen:
+                        docs[g].update(ks)
+        alive = set()
+        for g, n in seen.items():
+            m = len(other.get(g, ()))
+            odds = (n / len(toxic)) / max((m + 0.5) / len(ordinary), len(far.get(g, ())) / max(1, len(others)))
+            if odds >= LEAST_ODDS and (not others and size == GRAM or _chance(n, m, len(toxic), len(ordinary)) * len(seen) < MOST_CHANCE):
+                found[g] = math.log(odds)
+            else:
+                alive.add(g)
+        size += 1
+    return found
+
+
+def _chance(n: int, m: int, toxic: int, ordinary: int) -> float:
+    """Bound on the chance that n toxic documents and m ordinary ones have a gram which marks neither."""
+    p, share = n / (n + m), toxic / (toxic + ordinary)
+    if p <= share:
+        return 1.0
+    apart = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if m else 0.0)
+    return math.exp(-(n + m) * apart)
+
+
+def _copy_key(flat: bytes) -> int:
+    """Equal for most near copies: the least checksum of three words in a row."""
+    ws = flat.split()
+    return min((zlib.crc32(b" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))))
 
 
 def _marking(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
-    seen, elsewhere = Counter(), Counter()
-    for t in toxic:
-        seen.update(_grams(t))
-    may = {g for g, n in seen.items() if n >= max(LEAST_DOCS, LEAST_SHARE * len(toxic))}
-    for t in ordinary:
-        elsewhere.update(may & _grams(t))
-    odds = {g: (seen[g] / len(toxic)) / ((elsewhere[g] + 0.5) / len(ordinary)) for g in may}
-    return {g: math.log(x) * seen[g] for g, x in odds.items() if x >= LEAST_ODDS}
+    """Grams that mark toxic documents among all or among those of a group, with the logarithm of their
+    odds. Near copies of one class count as one document."""
+    flat, is_toxic = [*toxic, *ordinary], np.arange(len(toxic) + len(ordinary)) < len(toxic)
+    words, keys = [{b" " + w + b" " for w in d.split()} for d in flat], [_copy_key(d) for d in flat]
+    out: dict[bytes, float] = {}
+    for rows in _groups(flat, is_toxic):
+        inside, parts = set(rows.tolist()), [defaultdict(set) for _ in range(3)]
+        for i in range(len(flat)):
+            if i in inside or not is_toxic[i]:
+                parts[0 if is_toxic[i] else 1 if i in inside else 2][keys[i]] |= words[i]
+        for g, worth in _marks_of(*[list(p.values()) for p in parts]).items():
+            out[g] = max(out.get(g, 0.0), worth)
+    return out
 
 
 def _spans(toxic: list[bytes], marking: dict[bytes, float]) -> bytes:
-    """Runs of marking grams inside words, those first that cover most that is not yet covered."""
-    runs: set[bytes] = set()
-    for word in {b" " + w + b" " for t in toxic for w in t.split()}:
-        hit = [word[i : i + GRAM] in marking for i in range(max(0, len(word) - GRAM + 1))]
-        start = None
-        for i, h in enumerate([*hit, False]):
-            if h and start is None:
-                start = i
-            elif not h and start is not None:
-                runs.add(word[start : i + GRAM - 1])
-                start = None
-    left, out, size = dict(marking), [], 0
-    worth = lambda r: sum(left.get(g, 0) for g in _grams(r)) / (len(r) + 4)
+    """Runs of marking grams inside words, those first that cover most words not yet covered."""
+    sizes = sorted({len(g) for g in marking})
+    at = defaultdict(list)
+    for k, t in enumerate(toxic):
+        for w in set(t.split()):
+            at[b" " + w + b" "].append(k)
+    runs: dict[bytes, float] = {}
+    for word in at:
+        joined: list[tuple[int, int, float]] = []
+        for i, e in sorted((i, i + n) for n in sizes for i in range(len(word) - n + 1) if word[i : i + n] in marking):
+            start, end, worth = joined.pop() if joined and i < joined[-1][1] else (i, e, 0.0)
+            joined.append((start, max(end, e), max(worth, marking[word[i:e]])))
+        for start, end, worth in joined:
+            runs[word[start:end]] = max(worth, runs.get(word[start:end], 0.0))
+    lengths, hits = sorted({len(r) for r in runs}), defaultdict(set)
+    for j, (word, ks) in enumerate(at.items()):
+        for n in lengths:
+            for i in range(len(word) - n + 1):
+                if word[i : i + n] in runs:
+                    hits[word[i : i + n]].update((k, j) for k in ks)
+    covered: set[tuple[int, int]] = set()
+    out, size = [], 0
+    worth = lambda r: len(hits[r] - covered) * runs[r] * len(r) / (len(r) + 4)
     heap = sorted((-worth(r), r) for r in runs)
     while heap and size < SPANS:
         _, run = heapq.heappop(heap)
@@ -116,8 +235,7 @@ def _spans(toxic: list[bytes], marking: dict[bytes, float]) -> bytes:
         elif now > 0:
             out.append(run)
             size += len(run)
-            for g in _grams(run):
-                left.pop(g, None)
+            covered |= hits[run]
     return b"".join(reversed(out))
 
 
@@ -132,12 +250,13 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     tests = [(t, y) for (t, y), c in zip(rows, third) if c]
     if not toxic or not ordinary or len({y for _, y in tests}) < 2:
         return None
-    spans = _spans(toxic, _marking(toxic, ordinary))
+    marking = _marking(toxic, ordinary)
+    spans = _spans(toxic, marking)
     step = max(1, len(ordinary) // 2_000)
     words = [_WINDOWS.findall(d) for d in ordinary[::step]]
     plain = b" ".join(w for ws in words for w in ws[:: max(1, len(ws) // 3)][:3])
-    base, fill = plain[:BASE], bytes(len(spans))
-    draft = Scorer(Model(spans + base, fill + base, ()))
+    lead, fill, marks = plain[:LEAD], bytes(len(spans)), frozenset(marking)
+    draft = Scorer(Model(spans + lead, fill + lead, (), marks, lead))
     x = np.array([draft.features(t) for t, _ in tests])
     y = np.array([y for _, y in tests], dtype=float)
     weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
@@ -146,7 +265,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w = w + np.linalg.solve(curve, x.T @ (weight * (y - p)) - 0.1 * w)
-    return Model(spans + base, fill + base, tuple(float(v) for v in w))
+    return Model(spans + lead, fill + lead, tuple(float(v) for v in w), marks, lead)
 
 
 def held_out(ident: Column) -> Column:

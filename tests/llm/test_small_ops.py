@@ -92,6 +92,28 @@ def test_toxicity(spark):
     assert all(r["toxicity"] == 0 for r in TX.toxicity(d, None).collect())
 
 
+def test_toxicity_of_a_minority_language():
+    rng = np.random.default_rng(8)
+    # its marks are words whose parts stand in ordinary words of the language too
+    tongues = [(["on", "er", "ti", "sh", "bre", "lu"], ["grumpelwort"], 600), (["äch", "lich", "keit", "zu", "ung", "ver"], ["ächlichkeitver", "verächlichung"], 150)]
+    rows = []
+    for parts, marks, n in tongues:
+        for i in range(n):
+            ws = ["".join(rng.choice(parts, rng.integers(2, 4))) for _ in range(80)]
+            if i % 4 == 0:
+                for j in rng.integers(0, 80, 8):
+                    ws[j] = str(rng.choice(marks))
+            rows.append((" ".join(ws), int(i % 4 == 0)))
+    fresh = []
+    for i in range(60):
+        ws = ["".join(rng.choice(tongues[1][0], rng.integers(2, 4))) for _ in range(80)]
+        for j in rng.integers(0, 80, 8) if i % 2 else []:
+            ws[j] = str(rng.choice(tongues[1][1]))
+        fresh.append((" ".join(ws), i % 2))
+    scorer = TX.Scorer(TX.fit(rows))
+    assert np.mean([(scorer.score(t) >= 0.5) == y for t, y in fresh]) >= 0.9
+
+
 def test_wu_manber(spark):
     rng = np.random.default_rng(2)
     items = {str(k): " ".join(rng.choice(["a", "b", "c"], n)) for k, n in enumerate([1, 2, 5, 10, 12, 30, 0])}
