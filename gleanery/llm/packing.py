@@ -4,7 +4,8 @@ Every source is a queue of tokens (a document's ids, then an end id). In each wi
 its share of the window; what is due but less than a quantum is carried on as its deficit, and the
 largest queue takes the rest of the window. As the deficits after window w follow from w alone, any
 partition can place its tokens without knowing the windows before: only token counts by partition
-and source are gathered, and neither texts nor ids are shuffled.
+and source are gathered, and neither texts nor ids are shuffled. More sources than ``QUEUES`` form a
+tree: the last queue is filled by a round-robin of its own, in windows of its own, and so on.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import types as T
 from gleanery.llm.common import BROADCAST_ROWS, written
 
 LENGTH, END = 4096, 2
-#: Queues of their own; the sources with fewer tokens than the first of them share the last queue. 64
-#: is the most for which the largest queue of any mixture has a token for every other one's deficit.
+#: Queues of a round-robin. 64 is the most for which the largest queue of any mixture has a token for
+#: every other one's deficit.
 QUEUES = 64
+#: Queues and tokens of a window in the round-robins that fill the last queue; few, so that the sources take turns soon.
+FEW, SHORT = 8, 64
 #: Pieces of words that a Python worker remembers with their ids.
 REMEMBERED = 250_000
 
@@ -92,6 +95,7 @@ class Phase:
     windows: int
     starts: list[int]
     tokens: list[int]
+    length: int = LENGTH
 
     def __post_init__(self) -> None:
         self.rest = max(range(len(self.tokens)), key=lambda q: (self.tokens[q], -q))
@@ -107,7 +111,7 @@ class Phase:
         return np.where(w >= self.windows, n, w * n // (self.windows * g) * g)
 
     def total(self, w: np.ndarray) -> np.ndarray:
-        return np.where(w >= self.windows, sum(self.tokens), w * LENGTH)
+        return np.where(w >= self.windows, sum(self.tokens), w * self.length)
 
     def window(self, q: int, at: np.ndarray) -> np.ndarray:
         """The window that token ``at`` of queue q is in."""
@@ -130,7 +134,7 @@ class Phase:
         return out
 
 
-def phases(totals: list[int], weights: list[float] | None = None) -> list[Phase]:
+def phases(totals: list[int], weights: list[float] | None = None, length: int = LENGTH) -> list[Phase]:
     """All tokens of the queues in windows, in the proportions ``weights`` (default: those of the totals)
     as long as every queue lasts; then in those of the queues that are left."""
     left, starts, out, first = list(totals), [0] * len(totals), [], 0
@@ -138,18 +142,18 @@ def phases(totals: list[int], weights: list[float] | None = None) -> list[Phase]
     share = [max(1, s) if t else 0 for s, t in zip(share, totals)]
     while total := sum(left):
         live = sum(s for s, n in zip(share, left) if n)
-        windows = min(n * live // (LENGTH * s) for s, n in zip(share, left) if n)
+        windows = min(n * live // (length * s) for s, n in zip(share, left) if n)
         if windows:
-            give = [LENGTH * windows * s // live if n else 0 for s, n in zip(share, left)]
-            short = LENGTH * windows - sum(give)
+            give = [length * windows * s // live if n else 0 for s, n in zip(share, left)]
+            short = length * windows - sum(give)
         else:  # the next window empties a queue: what it lacks is taken from the others
-            windows, want = 1, min(LENGTH, total)
-            give = [min(n, LENGTH * s // live) if n else 0 for s, n in zip(share, left)]
+            windows, want = 1, min(length, total)
+            give = [min(n, length * s // live) if n else 0 for s, n in zip(share, left)]
             short = want - sum(give)
         for q in sorted(range(len(left)), key=lambda q: (give[q] - left[q], q)):
             more = min(short, left[q] - give[q])
             give[q], short = give[q] + more, short - more
-        out.append(Phase(first, windows, list(starts), give))
+        out.append(Phase(first, windows, list(starts), give, length))
         first += windows
         starts = [a + g for a, g in zip(starts, give)]
         left = [n - g for n, g in zip(left, give)]
@@ -183,6 +187,59 @@ def pieces(plan: list[Phase], queue: np.ndarray, start: np.ndarray, size: np.nda
     return [np.concatenate([np.asarray(o[i]).astype(np.int64) for o in out]) if out else np.zeros(0, np.int64) for i in range(5)]
 
 
+@dataclass
+class Tree:
+    """Round-robins by number, the first of windows and the others each of a queue of an earlier one
+    (``above``); ``leaves`` has the round-robin and queue of each source."""
+
+    plans: list[list[Phase]]
+    above: list[tuple[int, int] | None]
+    leaves: list[tuple[int, int]]
+
+    def pieces(self, node: np.ndarray, queue: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """As the function of this name, for documents at ``start`` of the queues of ``node``."""
+        kind, ends = start.dtype, []
+        rows = np.arange(len(node))
+        todo = {k: [(rows[node == k], np.zeros((node == k).sum(), np.int64), queue[node == k], start[node == k], size[node == k])] for k in set(node.tolist())}
+        while todo:
+            k = max(todo)  # those below have larger numbers
+            row, begin, q, at, n = (np.concatenate(x) for x in zip(*todo.pop(k)))
+            i, a, n, w, offset = pieces(self.plans[k], q, at, n)
+            row, begin = row[i], begin[i] + a
+            if self.above[k] is None:
+                ends.append((row, begin, n, w, offset))
+            else:
+                up, q = self.above[k]
+                at = w.astype(kind) * SHORT + offset.astype(kind)
+                todo.setdefault(up, []).append((row, begin, np.full(len(row), q), at, n.astype(kind)))
+        return [np.concatenate(x) for x in zip(*ends)] if ends else [np.zeros(0, np.int64)] * 5
+
+
+def tree(totals: list[int], weights: list[float] | None = None) -> Tree:
+    """Of sources with these tokens: the first ``QUEUES`` - 1 have queues of their own, the others share
+    the last one if there are more than one, at the sum of their weights."""
+    out = Tree([], [], [(0, 0)] * len(totals))
+
+    def add(low: int, high: int, above: tuple[int, int] | None) -> None:
+        k = len(out.plans)
+        if above is None:
+            cuts = [*range(low, min(high, low + QUEUES - 1) + 1), *([high] if high - low >= QUEUES else [])]
+        else:
+            n = min(high - low, FEW)
+            cuts = [low + (high - low) * q // n for q in range(n + 1)]
+        parts = list(zip(cuts, cuts[1:]))
+        out.plans.append(phases([sum(totals[a:e]) for a, e in parts], weights and [sum(weights[a:e]) for a, e in parts], LENGTH if above is None else SHORT))
+        out.above.append(above)
+        for q, (a, e) in enumerate(parts):
+            if e - a == 1:
+                out.leaves[a] = (k, q)
+            else:
+                add(a, e, (k, q))
+
+    add(0, len(totals), None)
+    return out
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -237,19 +294,17 @@ def pack(
     )
     counts = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "counts")
     by_source = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    own = [r["source"] for r in by_source.orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()]
-    place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in own]), F.col("source")) - 1, F.lit(0)) if own else F.lit(0)
-    queued = counts.withColumn("queue", F.when(place < 0, QUEUES - 1).otherwise(place).cast("int"))
-    totals = [0] * QUEUES
-    for r in queued.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r["queue"]] = int(r["n"])
-    named = [None if weights is None else weights.get(s, 0.0) for s in own]
-    shares = None if weights is None else [*named, *[0.0] * (QUEUES - len(named))]
-    plan = phases(totals, shares)
-    order = "partition by queue order by source, part rows between unbounded preceding and 1 preceding"
-    starts = written(queued.select("source", "part", "queue", F.expr(f"coalesce(sum(n) over ({order}), 0L)").alias("base")), "starts")
+    sources = [(r["source"], int(r["n"]), 0.0 if weights is None else float(weights.get(r["source"], 0.0))) for r in by_source.collect()]
+    sources.sort(key=lambda x: (-x[2], -x[1], x[0]))
+    totals = [n for _, n, _ in sources]
+    plan = tree(totals, None if weights is None else [w for _, _, w in sources])
+    leaves = spark.createDataFrame([(s, k, q) for (s, _, _), (k, q) in zip(sources, plan.leaves)], "source string, node int, queue int")
+    queued = counts.join(F.broadcast(leaves) if len(sources) <= BROADCAST_ROWS else leaves, "source")
+    order = "partition by source order by part rows between unbounded preceding and 1 preceding"
+    starts = written(queued.select("source", "part", "node", "queue", F.expr(f"coalesce(sum(n) over ({order}), 0L)").alias("base")), "starts")
     small = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = tokens.join(F.broadcast(starts) if small else starts, ["source", "part"])
+    shared = spark.sparkContext.broadcast(plan)
     kind = np.int64 if sum(totals) < 1 << 31 else object  # products of two token counts must not overflow
     out = T.StructType([
         T.StructField(id_col, ident), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -261,14 +316,14 @@ def pack(
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 c = b.slice(at, 500)
-                queue, start, n = (c.column(i).to_numpy() for i in (1, 2, 3))
-                rows, begin, size, window, offset = pieces(plan, queue, start.astype(kind), n.astype(kind))
-                ids = [memoryview(x.as_buffer()) for x in c.column(4)]
+                node, queue, start, n = (c.column(i).to_numpy() for i in (1, 2, 3, 4))
+                rows, begin, size, window, offset = shared.value.pieces(node, queue, start.astype(kind), n.astype(kind))
+                ids = [memoryview(x.as_buffer()) for x in c.column(5)]
                 cuts = [bytes(ids[r][4 * a : 4 * (a + k)]) for r, a, k in zip(rows.tolist(), begin.tolist(), size.tolist())]
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0).take(take), pa.array(begin), pa.array(size), pa.array(cuts, pa.binary()), c.column(3).take(take), pa.array(window), pa.array(offset)],
+                    [c.column(0).take(take), pa.array(begin), pa.array(size), pa.array(cuts, pa.binary()), c.column(4).take(take), pa.array(window), pa.array(offset)],
                     names=out.names,
                 )
 
-    return placed.select("id", "queue", (F.col("base") + F.col("run")).alias("at"), "n", "ids").mapInArrow(cut, out)
+    return placed.select("id", "node", "queue", (F.col("base") + F.col("run")).alias("at"), "n", "ids").mapInArrow(cut, out)

@@ -197,6 +197,39 @@ def test_packing(spark):
     assert sorted(sequences) == list(range(len(sequences))) and all(n == P.LENGTH for k, n in sequences.items() if k < len(sequences) - 1)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_packing_of_many_sources(spark, weighted):
+    path, n = public_tokenizers.path("word_bpe_49k.json"), 200
+    sources = ["s%03d" % (i % n) for i in range(10 * n)]
+    heavy = {"s%03d" % i: 8.0 if i >= 190 else 1.0 for i in range(n)}
+    rows = pack(docs(spark, ["a b c d " * 50] * (10 * n), sources), path, weights=heavy if weighted else None).collect()
+    assert sum(r["length"] for r in rows) == 10 * n * 201 and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    sequences: dict = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert sequences.setdefault(r["sequence_id"], 0) == r["offset"]
+        sequences[r["sequence_id"]] += r["length"]
+    assert all(k == P.LENGTH for s, k in sequences.items() if s < len(sequences) - 1)
+    first = Counter()  # tokens of each source in a part of the sequences, small against one source after another
+    part = len(sequences) // (10 if weighted else 2)
+    for r in rows:
+        if r["sequence_id"] < part:
+            first[sources[r["doc_id"]]] += r["length"]
+    total = sum(heavy.values()) if weighted else n
+    want = {s: part * P.LENGTH * (heavy[s] if weighted else 1) / total for s in heavy}
+    assert all(0.6 * want[s] - 64 <= first[s] <= 1.4 * want[s] + 64 for s in heavy)
+
+
+def test_tree_of_many_sources():
+    totals = [40 + 7 * (i % 90) for i in range(10_000)]
+    t = P.tree(totals)
+    at = np.array(t.leaves)
+    rows, begin, size, window, offset = t.pieces(at[:, 0], at[:, 1], np.zeros(len(totals), np.int64), np.array(totals))
+    assert np.bincount(rows, size).tolist() == totals
+    order = np.lexsort((offset, window))
+    place = (window * P.LENGTH + offset)[order]
+    assert place[0] == 0 and (place[1:] == place[:-1] + size[order][:-1]).all() and place[-1] + size[order][-1] == sum(totals)
+
+
 def test_similar_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 8))
