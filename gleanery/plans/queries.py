@@ -643,12 +643,15 @@ def _sample_files(spark) -> DataFrame:
 
 @query()
 def inspect_files(spark, sf_dir):
-    """Every fact and problem of the sample files and of all pages and benchmark items as files."""
+    """Every fact and problem of the sample files and of all pages, documents and benchmark items as files."""
     from gleanery.sources.engine import inspect
     from gleanery.sources.files import from_table
 
-    items = from_table(table(spark, sf_dir, "benchmark").withColumn("id", F.concat(F.lit("item-"), "item_id")), "id", "text").drop("length")
-    rows = inspect(_sample_files(spark).unionByName(items))
+    files = _sample_files(spark)
+    for name, kind, ident, body in (("pages", "page", "page_id", "html"), ("documents", "doc", "doc_id", "text"), ("benchmark", "item", "item_id", "text")):
+        named = table(spark, sf_dir, name).withColumn("id", F.concat(F.lit(f"{kind}-"), ident))
+        files = files.unionByName(from_table(named, "id", body).drop("length"))
+    rows = inspect(files)
     return rows.where("row <> 'node'").select("file_id", "format", "row", "ordinal", "kind", "text", "start", "length", "complete")
 
 

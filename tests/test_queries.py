@@ -33,6 +33,12 @@ def test_query(spark, db, name):
     assert plain(map(tuple, got.select(*[f"`{c}`" for c in columns]).collect())) == plain(want)
 
 
+def test_inspect_files_reads_every_row(spark, db):
+    got = plans.QUERIES["inspect_files"](spark, DIR).where("row = 'file'").groupBy("file_id").count().collect()
+    wanted = {f"{kind}-{i}" for kind, t, c in (("page", "pages", "page_id"), ("doc", "documents", "doc_id"), ("item", "benchmark", "item_id")) for (i,) in db.sql(f"select {c} from {t}").fetchall()}
+    assert wanted <= {r["file_id"] for r in got} and all(r["count"] == 1 for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
