@@ -189,7 +189,10 @@ def _marking(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
     """Grams that mark toxic documents among all or among those of a group, with the logarithm of their
     odds. Near copies of one class count as one document."""
     flat, is_toxic = [*toxic, *ordinary], np.arange(len(toxic) + len(ordinary)) < len(toxic)
-    words, keys = [{b" " + w + b" " for w in d.split()} for d in flat], [_copy_key(d) for d in flat]
+    once: dict[bytes, bytes] = {}  # a word of many documents is held once
+    words = [{once.setdefault(w, w) for w in (b" " + x + b" " for x in d.split())} for d in flat]
+    keys = [_copy_key(d) for d in flat]
+    once.clear()
     out: dict[bytes, float] = {}
     for rows in _groups(flat, is_toxic):
         inside, parts = set(rows.tolist()), [defaultdict(set) for _ in range(3)]
