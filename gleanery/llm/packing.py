@@ -11,6 +11,7 @@ tree: the last queue is filled by a round-robin of its own, in windows of its ow
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import unicodedata
 from dataclasses import dataclass
@@ -29,20 +30,25 @@ LENGTH, END = 4096, 2
 QUEUES = 64
 #: Queues and tokens of a window in the round-robins that fill the last queue; few, so that the sources take turns soon.
 FEW, SHORT = 8, 64
-#: Pieces of words that a Python worker remembers with their ids.
-REMEMBERED = 250_000
+#: Words that a Python worker remembers with their ids, in two generations, and characters of the longest such word.
+REMEMBERED, LONGEST = 400_000, 64
 
 #: The pre-tokenizer's pattern in the tokenizer file (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Controls that ``str.split`` takes for blanks and the pattern does not.
+_NO_BLANKS = re.compile("[\x1c-\x1f]")
+
 _loaded: dict[str, Encoder] = {}
 
 
 class Encoder(dict):
-    """A text's ids as little-endian unsigned 32-bit bytes. Pieces are looked up here by their own text.
+    """A text's ids as little-endian unsigned 32-bit bytes. Words between blanks are looked up here by their own text.
 
-    The tokenizer normalises, splits at the pattern and merges inside pieces, so a piece's ids do not
-    depend on its neighbours; only texts with the string of a special token go through it whole.
+    The tokenizer normalises, splits at the pattern, no piece of which holds a blank, and merges inside
+    pieces, so a word's ids do not depend on its neighbours; only texts with the string of a special
+    token go through it whole. When a generation of words is full it becomes the old one, from which
+    words that are met again come back, so frequent words stay.
     """
 
     def __init__(self, spec: str) -> None:
@@ -56,17 +62,29 @@ class Encoder(dict):
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        if not shown.isprintable() or " " in shown:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1] in ",." and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        if (out := self.old.pop(word, None)) is None:
+            out = self.of_pieces(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
+    def of_pieces(self, text: str) -> bytes:
+        ids: list[int] = []
+        for piece in self.pieces(text):
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            if not shown.isprintable() or " " in shown:
+                shown = piece.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
         text = text or ""
         if any(s in text for s in self.special):
@@ -76,7 +94,15 @@ class Encoder(dict):
             text = unicodedata.normalize("NFC", text)
             # lower() makes a last sigma another letter; the tokenizer lower-cases each character by itself
             text = text.replace("Σ", "σ")
-        return b"".join(map(self.__getitem__, self.pieces(text.lower())))
+        text = text.lower()
+        if _NO_BLANKS.search(text):
+            return self.of_pieces(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def forget(self) -> None:
+        """Give the memory back at the end of a task; Python workers outlive their stages."""
+        self.old = {}
+        self.clear()
 
 
 def encoder(spec: str) -> Encoder:
@@ -286,6 +312,7 @@ def pack(
                     [c.column(0), c.column(1), pa.array([part] * len(n), pa.int32()), pa.array(run, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     names=wide.names,
                 )
+        enc.forget()
 
     source = F.col(f"`{source_col}`").cast("string")
     tokens = written(
