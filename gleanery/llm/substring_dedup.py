@@ -1,13 +1,14 @@
 """Substring dedup by relative Lempel-Ziv parsing against everything that stands in earlier documents.
 
 The reference of a document is all documents with smaller ids. Its index maps the fingerprint of each run of
-``window`` words to the first document that holds it, in blocks by hash, which together cover every
+``window`` words to the place (document and position) where it stands first, in blocks by hash, which together cover every
 document. Only runs that can repeat are indexed: each run is known by its anchor, the run of
 ``ANCHOR`` words in it with the least hash, and equal runs have equal anchors, so runs whose anchor
 stands in one document only need no look-up. A document is parsed greedily from left to right: a
-factor begins where a run is found in any block and grows word by word while the next run is found
-with the same reference; runs across the boundary of two factors are looked up like all others.
-Words under factors, which are ``window`` words at least, are removed.
+factor begins where a run is found in any block and grows word by word as long as the next run is found
+at the next place of the same reference document; runs across the boundary of two factors are looked up like all others.
+Every factor is then confirmed: the words of the reference between the factor's boundaries are read
+again and must be the document's own. Words under factors, which are ``window`` words at least, are removed.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm import wordhash
-from gleanery.llm.common import BROADCAST_ROWS, written
+from gleanery.llm.common import BROADCAST_ROWS, dropped, written
 
 WINDOW, ANCHOR = 50, 30
-#: Factors in all, of three numbers each, up to which they are broadcast.
-BROADCAST_FACTORS = 500_000
+#: Factors in all, of about 80 bytes each, up to which they are broadcast.
+BROADCAST_FACTORS = 100_000
+#: Positions of a document that one task parses at a time; a factor that goes on is another one from there.
+STRETCH = 1 << 14
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -36,14 +39,18 @@ def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1).min(axis=1).view(np.int64)
 
 
-def parsed(position: np.ndarray, reference: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """The factors (start, length, reference) of found runs, given in order of position."""
+def parsed(position: np.ndarray, reference: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """The factors (start, length, reference, position in it) of found runs, given in order of position."""
     if not len(position):
         return []
-    new = np.flatnonzero((np.diff(position) != 1) | (np.diff(reference) != 0)) + 1
+    new = np.flatnonzero((np.diff(position) != 1) | (np.diff(reference) != 0) | (np.diff(at) != 1)) + 1
     first = np.concatenate([[0], new])
     last = np.concatenate([new, [len(position)]]) - 1
-    return list(zip(position[first].tolist(), (position[last] - position[first] + window).tolist(), reference[first].tolist()))
+    return list(zip(position[first].tolist(), (position[last] - position[first] + window).tolist(), reference[first].tolist(), at[first].tolist()))
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _fields(*named: tuple[str, T.DataType]) -> T.StructType:
@@ -51,17 +58,20 @@ def _fields(*named: tuple[str, T.DataType]) -> T.StructType:
 
 
 _LONG, _LONGS = T.LongType(), T.ArrayType(T.LongType())
-_FACTOR = T.ArrayType(_fields(("start", _LONG), ("length", _LONG), ("reference", _LONG)))
+_PARSED = _fields(("id", _LONG), ("start", _LONG), ("length", _LONG), ("reference", _LONG), ("at", _LONG))
+_FACTOR = T.ArrayType(_fields(("start", _LONG), ("length", _LONG), ("reference", _LONG), ("at", _LONG)))
+_ARROW = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "reference", "at")]))
 
 
 def repeated_factors(
     docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id``, ``factors``: for each document that has any, its factors (start, length, reference), in words.
+    """``id``, ``factors``: for each document that has any, its factors (start, length, reference, at, digest), in words.
 
-    Ids are integers and name documents: rows of one id never refer to each other. A null id neither
+    ``at`` is the factor's place in the reference, ``digest`` that of the reference's words there. Ids are integers and name documents: rows of one id never refer to each other. A null id neither
     refers nor is referred to; texts without ``window`` words have no factors. Texts that are equal
-    word by word to one with a smaller id are one factor and take no further part.
+    word by word to one with a smaller id are one factor and take no further part. Among equal runs
+    the one with the least (id, position) is referred to, so ties do not depend on the order of rows.
     """
     anchor = max(1, min(ANCHOR, window - 1)) if window > 1 else 1
     bare = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
@@ -73,7 +83,7 @@ def repeated_factors(
             for t in b.column(1):
                 ws = wordhash.split(t.as_py(), lower=False)
                 n.append(len(ws))
-                of.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if len(ws) >= window else None)
+                of.append(digest(ws) if len(ws) >= window else None)
                 found.append(np.unique(anchors(wordhash.word_hashes(ws), window, anchor)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(of, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=head.names
@@ -82,7 +92,7 @@ def repeated_factors(
 
     index = written(bare.mapInArrow(read, head), "anchors")
     same = index.where("of is not null").groupBy("of").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = written(index.join(same, "of").where("id > first").select("id", "n", "first"), "copies")
+    copies = written(index.join(same, "of").where("id > first").select("id", "n", "first", "of"), "copies")
     gone = copies.select("id").distinct()
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     kept = index.where("of is not null").join(F.broadcast(gone) if few else gone, "id", "left_anti")
@@ -106,17 +116,17 @@ def repeated_factors(
         wordhash.forget()
 
     looked = written(read_again.select("id", "text", "shared").mapInArrow(indexed, runs), "runs")
-    firsts = looked.groupBy("print").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    block = written(firsts.select("print", "low"), "block")
-    found = looked.join(block, "print").where("id > low").select("id", "position", "low")
+    firsts = looked.groupBy("print").agg(F.min(F.struct("id", "position")).alias("first"), F.max("id").alias("high")).where("first.id < high")
+    block = written(firsts.select("print", F.col("first.id").alias("low"), F.col("first.position").alias("at")), "block")
+    found = looked.join(block, "print").where("id > low").select("id", "position", "low", "at")
     # The number of partitions is left to the session, so that it follows the input.
-    dealt = found.repartition("id").sortWithinPartitions("id", "position")
-    out = _fields(("id", _LONG), ("start", _LONG), ("length", _LONG), ("reference", _LONG))
+    stretch = F.floor(F.col("position") / STRETCH)
+    dealt = found.repartition("id", stretch).sortWithinPartitions("id", "position", "low", "at")
 
     def factored(batches):
         rest = None
         for b in batches:
-            x = np.stack([c.to_numpy() for c in b.columns]) if b.num_rows else np.zeros((3, 0), np.int64)
+            x = np.stack([c.to_numpy() for c in b.columns]) if b.num_rows else np.zeros((4, 0), np.int64)
             x = x if rest is None else np.concatenate([rest, x], axis=1)
             cut = int(np.searchsorted(x[0], x[0][-1])) if x.shape[1] else 0
             rest = x[:, cut:]
@@ -127,26 +137,51 @@ def repeated_factors(
     def _factors(x):
         x = x[:, np.concatenate([[True], np.any(np.diff(x[:2], axis=1) != 0, axis=0)])] if x.shape[1] else x
         edges = np.flatnonzero(np.diff(x[0])) + 1
-        rows = [
-            (int(g[0][0]), *f) for g in np.split(x, edges, axis=1) if g.shape[1] for f in parsed(g[1], g[2], window)
-        ]
+        rows = [(int(g[0][0]), *f) for g in np.split(x, edges, axis=1) if g.shape[1] for f in parsed(*g[1:], window)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=out.names)
-
-    whole = copies.groupBy("id").agg(F.max("n").alias("length"), F.min("first").alias("reference")).select("id", F.lit(0).cast("long").alias("start"), "length", "reference")
-    factors = dealt.mapInArrow(factored, out).unionByName(whole)
-    packed = factors.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "reference"))).cast(_FACTOR).alias("factors"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=_PARSED.names)
+
+    factors = written(dealt.mapInArrow(factored, _PARSED), "parsed")
+    for old in (index, shared, marks, looked, block):
+        dropped(old)
+    whole = copies.groupBy("id").agg(F.max_by("n", "of").alias("length"), F.min("first").alias("reference"), F.max("of").alias("digest"))
+    whole = whole.select("id", F.lit(0).cast("long").alias("start"), "length", "reference", F.lit(0).cast("long").alias("at"), "digest")
+    sure = factors.join(_read_again(factors, bare), ["reference", "at", "length"]).select(whole.columns).unionByName(whole)
+    packed = sure.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "reference", "at", "digest"))).alias("factors"))
     return written(packed, "factors")
 
 
+def _read_again(factors: DataFrame, bare: DataFrame) -> DataFrame:
+    """``reference``, ``at``, ``length``, ``digest`` of the words that factors refer to, each span read once."""
+    spans = factors.select("reference", "at", "length").distinct()
+    wanted = written(spans.groupBy("reference").agg(F.collect_list(F.struct("at", "length")).alias("spans")), "spans")
+    out = _fields(("reference", _LONG), ("at", _LONG), ("length", _LONG), ("digest", T.BinaryType()))
+
+    def read(batches):
+        for b in batches:
+            for i, t, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                ws = wordhash.split(t.as_py(), lower=False)
+                x = spans.values
+                at, n = (x.field(k).to_pylist() for k in (0, 1))
+                made = [digest(ws[a : a + k]) for a, k in zip(at, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(n), pa.array(made, pa.binary())], names=out.names)
+
+    few = wanted.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_FACTORS
+    texts = bare.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("reference")).select("reference", "text", "spans")
+    # rows that repeat an id may differ in their words: a factor that fits any of them is told by its digest
+    return written(texts.mapInArrow(read, out).distinct(), "digests")
+
+
 def substring_dedup(
     docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None
 ) -> DataFrame:
     """``columns`` of ``docs`` (all but the text by default), then ``text_col`` with the words under
     factors removed and the others joined by one space, ``n_words``, ``n_removed`` and ``factors``.
 
-    Null and empty texts have no words and come back empty. Rows of one id get the factors of that
-    id, so they should be one text. An empty table gives none; columns with the added names are replaced.
+    Null and empty texts have no words and come back empty. A factor is removed only from rows whose
+    own words are those of the reference, so rows that repeat an id may differ in their texts. Texts
+    may be of any length. An empty table gives none; columns with the added names are replaced, all others
+    pass through whatever their names.
     """
     added = ["n_words", "n_removed", "factors"]
     names = [c for c in columns or docs.columns if c not in (*added, text_col)]
@@ -160,17 +195,21 @@ def substring_dedup(
 
     def removed(batches):
         for b in batches:
-            texts, n, gone = [], [], []
+            texts, n, gone, used = [], [], [], []
             for t, fs in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
                 ws = wordhash.split(t.as_py(), lower=False)
-                left = np.ones(len(ws), bool)
+                left, true = np.ones(len(ws), bool), []
                 for f in fs.as_py() or []:
-                    left[f["start"] : f["start"] + f["length"]] = False
+                    span = slice(f["start"], f["start"] + f["length"])
+                    if span.stop <= len(ws) and digest(ws[span]) == f.pop("digest"):
+                        left[span] = False
+                        true.append(f)
+                used.append(true)
                 texts.append(b" ".join(w for w, k in zip(ws, left.tolist()) if k).decode("utf-8", "surrogatepass"))
                 n.append(len(ws))
                 gone.append(len(ws) - int(left.sum()))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), b.columns[-1]], names=schema.names
+                [*b.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(used, _ARROW)], names=schema.names
             )
 
     return joined.select(*[F.col(f"d.`{c}`") for c in names], F.col(f"d.`{text_col}`").alias("_t"), F.col("f.factors").alias("_f")).mapInArrow(removed, schema)
