@@ -2,8 +2,9 @@
 
 Grams of words mark toxic text, if among the training documents, or among those of a group alike (as
 of one language), they stand in toxic ones far likelier than in ordinary ones. The toxic dictionary
-has the spans made of them, the ordinary one as many bytes that match nothing; both share a lead of
-ordinary text. A text's words without a mark save nothing and are left out, the others cut into
+has the spans of toxic text made of them. The ordinary one has as many bytes of words of ordinary
+text, those with a mark first, then the others, the most frequent ones first in both, so what stands in ordinary text too
+saves nothing; both share a lead of ordinary text. A text's words without a mark are equally far from both and left out, the others cut into
 windows at blanks; what the toxic dictionary saves in those, summed up per document, is calibrated
 to a score on training rows that the dictionaries have not seen.
 """
@@ -28,13 +29,15 @@ WINDOW, LEAD, SPANS, GRAM = 96, 80, 4_096, 5
 #: A gram marks toxic text if it stands in this share of the toxic training documents, in so many of
 #: them at least, and so many times likelier there than in ordinary ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.02, 3, 15
+#: A word that is so many times likelier in toxic documents, and no more, belongs to ordinary text.
+ORDINARY_ODDS = 4
 #: Bound on the expected number of grams that pass by chance, for those longer than ``GRAM`` or of a group.
 MOST_CHANCE = 1e-4
 #: Places of a document's profile, and documents of each class that a group has at least.
 PROFILE, LEAST_GROUP = 1_024, 20
-#: Bounds of the training sample: documents of each class, and characters taken of each. Only the fit
-#: is bounded; every whole text is scored.
-TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1_500, 4_500, 65_536
+#: Bounds of the training sample: labelled rows of each class, and characters of them all. Rows count
+#: whole; only the fit is bounded, every whole text is scored.
+TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1_500, 4_500, 32_000_000
 #: Weight of a toxic row in the calibration.
 TOXIC_WEIGHT = 2.0
 #: Words that a Python worker remembers as marked or not.
@@ -242,6 +245,38 @@ def _spans(toxic: list[bytes], marking: dict[bytes, float]) -> bytes:
     return b"".join(reversed(out))
 
 
+def _shares(docs: list[bytes]) -> dict[bytes, float]:
+    n: dict[bytes, int] = defaultdict(int)
+    for d in docs:
+        for w in set(d.split()):
+            n[w] += 1
+    return {w: k / len(docs) for w, k in n.items() if k >= LEAST_DOCS}
+
+
+def _words(ordinary: list[bytes], toxic: list[bytes], marks: frozenset[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Words of ``LEAST_DOCS`` ordinary documents or more, those with a mark and the others, from those of most
+    documents on. Words that are far likelier in toxic documents are left to the toxic dictionary."""
+    here, there = _shares(ordinary), _shares(toxic)
+    out: tuple[list[bytes], list[bytes]] = ([], [])
+    sizes = sorted({len(g) for g in marks})
+    for w in sorted((w for w in here if ORDINARY_ODDS * here[w] >= there.get(w, 0.0)), key=lambda w: (-here[w], w)):
+        at = b" " + w + b" "
+        has = any(at[i : i + k] in marks for k in sizes for i in range(len(at) - k + 1))
+        out[0 if has else 1].append(w)
+    return out
+
+
+def _ordinary(words: tuple[list[bytes], list[bytes]], size: int) -> bytes:
+    """So many bytes of those words; the most frequent ones stand last, where they are cheapest."""
+    held, left = [], size
+    for w in (*words[0], *words[1]):
+        if left <= len(w):
+            break
+        held.append(w)
+        left -= len(w) + 1
+    return b" ".join(reversed(held)).rjust(size, b"\x00")[:size] if size else b""
+
+
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """A model of (text, label) rows, or None where one class is missing. Two of three rows train the
     dictionaries, the third calibrates. The order of the rows does not matter."""
@@ -254,11 +289,10 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     if not toxic or not ordinary or len({y for _, y in tests}) < 2:
         return None
     marking = _marking(toxic, ordinary)
-    spans = _spans(toxic, marking)
-    step = max(1, len(ordinary) // 2_000)
-    words = [_WINDOWS.findall(d) for d in ordinary[::step]]
-    plain = b" ".join(w for ws in words for w in ws[:: max(1, len(ws) // 3)][:3])
-    lead, fill, marks = plain[:LEAD], bytes(len(spans)), frozenset(marking)
+    spans, marks = _spans(toxic, marking), frozenset(marking)
+    words = _words(ordinary, toxic, marks)
+    lead = (b" ".join(words[1])[:LEAD]).rjust(LEAD, b" ")
+    fill = _ordinary(words, len(spans))
     draft = Scorer(Model(spans + lead, fill + lead, (), marks, lead))
     x = np.array([draft.features(t) for t, _ in tests])
     y = np.array([y for _, y in tests], dtype=float)
@@ -278,15 +312,25 @@ def held_out(ident: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic") -> Model | None:
     """Fit on the labelled rows of ``docs`` that are not held out: of each class those whose ids have
-    the least hashes, up to the bounds above. Labels of one id are one, the larger; null ones count for
-    nothing."""
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
+    the least hashes, as long as rows and characters are within the bounds above; a row whose text alone exceeds
+    them is passed over. Labels of one id are one, the larger; null ones count for nothing. Of rows that repeat an id
+    the one whose text has the least hash is taken, so neither repeated rows nor ties change the
+    model. Null and empty texts train as empty ones. None where a class is missing, as in empty tables."""
+    marks = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(F.col(f"`{label_col}`")).alias("_y"))
     marks = marks.where(~held_out(F.col("_id")))
     bound = [(1, TRAIN_TOXIC), (0, TRAIN_ORDINARY)]
     picked = [marks.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in bound]
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("_t"))
-    rows = texts.join(picked[0].unionByName(picked[1]), "_id").select("_t", "_y").limit(2 * (TRAIN_TOXIC + TRAIN_ORDINARY))
-    return fit([(r[0], int(r[1])) for r in rows.collect()])
+    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # as many rows as the bounds allow at most
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t")).join(chosen, "_id")
+    sizes = texts.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.char_length("_t").alias("n"))).alias("r"))
+    left, ids = {1: TRAIN_CHARS // 4, 0: TRAIN_CHARS - TRAIN_CHARS // 4}, []
+    for r in sizes.select("_id", "_y", "r.h", "r.n").orderBy(F.xxhash64("_id"), "_id").collect():
+        if r["n"] <= left[int(r["_y"] > 0)]:
+            left[int(r["_y"] > 0)] -= r["n"]
+            ids.append((r["_id"], r["h"]))
+    kept = docs.sparkSession.createDataFrame(ids, T.StructType([docs.schema[id_col], T.StructField("h", T.LongType())])).toDF("_id", "h")
+    one = texts.join(F.broadcast(kept), "_id").where(F.xxhash64("_t") == F.col("h")).dropDuplicates(["_id"])
+    return fit([(r[0], int(r[1])) for r in one.select("_t", "_y").collect()])
 
 
 def toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
