@@ -223,25 +223,32 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["length"].cast("string"))), ",")
     return out.select(
-        "conv_id", "participant", "chunk", "n_turns", "n_own", spans.alias("mask"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
+        "conv_id", "participant", "chunk", "offset", "n_turns", "n_own", spans.alias("mask"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")
     )
 
 
-SQL["op2_chat_formatting"] = f"""
-WITH t AS (
-  SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+SQL["op2_chat_formatting"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn AS number, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS n FROM conversations GROUP BY ALL
+), t AS (
+  SELECT conv_id, coalesce(number, 0) AS turn, role, text, unnest(range(CASE WHEN number IS NULL THEN n ELSE 1 END)) AS again FROM c
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text, again) - 1 AS pos,
+    translate(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(13) || chr(10), '  ') AS name, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS shown FROM t
 ), each AS (
-  SELECT t.*, turn // {CHUNK} AS chunk, p.role AS participant, t.role = p.role AS own,
-    '<|turn|>' || CASE WHEN t.role = p.role THEN 'assistant' ELSE 'user ' || t.role END || chr(10) AS head, t.text || '<|end|>' || chr(10) AS body
-  FROM t JOIN (SELECT DISTINCT conv_id, role FROM t) p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  SELECT r.*, pos // {CHUNK} AS chunk, p.role AS participant, r.role = p.role AS own,
+    '<|turn|>' || CASE WHEN r.role = p.role THEN 'assistant' ELSE 'user ' || name END || chr(10) AS head, shown || '<|end|>' || chr(10) AS body
+  FROM r JOIN (SELECT DISTINCT conv_id, role FROM t) p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, chunk ORDER BY turn, role, text
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM each
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS since FROM each
+), begun AS (
+  SELECT *, min(since) OVER (PARTITION BY conv_id, participant, chunk) AS begins FROM placed
 )
-SELECT conv_id, participant, chunk, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
-  coalesce(string_agg(start || ':' || length(body), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask,
-  sha256(string_agg(head || body, '' ORDER BY turn, role, text)) AS text_sha256
-FROM placed GROUP BY conv_id, participant, chunk
+SELECT conv_id, participant, chunk, min(begins) AS "offset", count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+  coalesce(string_agg((since - begins + length(head)) || ':' || length(body), ',' ORDER BY pos) FILTER (WHERE own), '') AS mask,
+  sha256(string_agg(head || body, '' ORDER BY pos)) AS text_sha256
+FROM begun GROUP BY conv_id, participant, chunk
 """
 
 

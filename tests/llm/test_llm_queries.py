@@ -34,7 +34,7 @@ def test_query(spark, db, name):
         assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got.collect())
         got = got.drop("text_crc32")
     columns = sorted(got.columns)
-    want = db.sql(f"select {', '.join(columns)} from ({sql})").fetchall()
+    want = db.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({sql})").fetchall()
     assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(want, key=repr)
 
 
