@@ -35,13 +35,14 @@ def line_dedup(
     Each row is a document of its own, so repeated rows count as often as they stand there. A null
     or empty text is one empty line and comes back empty. Keys shorter than ``min_key_chars`` code
     points never count and are never dropped. Keys meet as 128-bit hashes. Other columns pass
-    through, except that ``n_lines``, ``n_dropped`` and ``_of`` are replaced; a null id
-    is an id like any other. An empty table gives none.
+    through whatever their names, except that ``n_lines`` and ``n_dropped`` are replaced; a null id
+    is an id like any other. A line counts once in a document however often it stands there, and at
+    exactly ``min_docs`` documents it goes. Texts of any length are taken whole. An empty table gives none.
     """
     at = docs.select(
-        F.col(id_col).alias("_id"),
-        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_of"),
-        line_keys(F.coalesce(F.col(text_col), F.lit(""))).alias("_keys"),
+        F.col(f"`{id_col}`").alias("_id"),
+        F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_of"),
+        line_keys(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_keys"),
     )
     hashed = lambda k: F.when(F.char_length(k) >= min_key_chars, F.md5(k))
     counted = (
@@ -69,7 +70,6 @@ def line_dedup(
 
 def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The lines that are left, by position. A byte for each line up to the last drop marks the drops."""
-    text = F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
     marks = F.transform(
         "_drop",
         lambda p, i: F.concat(
@@ -78,21 +78,25 @@ def _without(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> D
         ),
     )
     marked = drops.select(
-        F.col("_id").alias("_drop_id"),
-        F.col("_of").alias("_drop_of"),
-        F.size("_drop").cast("long").alias("_n_drop"),
-        F.array_join(marks, "").cast("binary").alias("_marks"),
+        F.col("_id").alias("drop_id"),
+        F.col("_of").alias("drop_of"),
+        F.size("_drop").cast("long").alias("n_drop"),
+        F.array_join(marks, "").cast("binary").alias("marks"),
     )
-    joined = docs.alias("d").withColumn("_of", F.md5(text)).join(
-        marked, F.col(f"d.`{id_col}`").eqNullSafe(F.col("_drop_id")) & (F.col("_of") == F.col("_drop_of")), "left"
+    # the caller's columns go by their place, so no name can clash
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()])
+    text = F.coalesce(F.col(place[text_col]), F.lit(""))
+    joined = named.withColumn("of", F.md5(text)).join(
+        marked, F.col(place[id_col]).eqNullSafe(F.col("drop_id")) & (F.col("of") == F.col("drop_of")), "left"
     )
     lines = F.split(text, "\n", -1)
     left = F.filter(
         lines,
-        lambda x, i: F.coalesce(F.substring("_marks", i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"),
+        lambda x, i: F.coalesce(F.substring("marks", i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"),
     )
-    kept = F.when(F.col("_n_drop").isNull(), text).otherwise(F.array_join(left, "\n"))
-    names = [kept.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = F.when(F.col("n_drop").isNull(), text).otherwise(F.array_join(left, "\n"))
+    names = [kept.alias(c) if c == text_col else F.col(p).alias(c) for c, p in place.items() if c not in ("n_lines", "n_dropped")]
     return joined.select(
-        *names, F.size(lines).cast("long").alias("n_lines"), F.coalesce("_n_drop", F.lit(0).cast("long")).alias("n_dropped")
+        *names, F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_drop", F.lit(0).cast("long")).alias("n_dropped")
     )

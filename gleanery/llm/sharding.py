@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import written
+from gleanery.llm.common import dropped, written
 
 #: Bits of the key, of each of its two parts, and of one round of probes.
 PART, STEP = 60, 12
@@ -109,27 +109,31 @@ def histogram_shard(
     Shard sizes, as ``size`` gives them, are nearly equal: each splitter misses its place by at most
     ``tolerance`` of a shard or half a document. Rows equal in text and id stay in one shard and
     follow each other in an unspecified order; null texts and ids are values of their own. An empty
-    table gives none. Columns that clash with ``shard`` or ``slot`` are replaced.
+    table gives none. Texts may be of any length. All other columns pass through whatever their names; ``shard`` and ``slot`` are replaced.
     """
     text, ident = F.coalesce(text, F.lit("")), F.coalesce(ident.cast("string"), F.lit("\x00"))
-    keyed = docs.withColumns({"_k1": key_part(text), "_k2": key_part(ident), "_size": size.cast("long")})
-    names = [F.col(f"`{c}`") for c in payload or docs.columns if c not in ("shard", "slot")]
-    keys = written(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_size").alias("size")), "keys")
+    # the caller's columns go by their place, so no name can clash
+    place = {c: f"c{i}" for i, c in enumerate(payload or docs.columns) if c not in ("shard", "slot")}
+    keyed = docs.select(
+        *[F.col(f"`{c}`").alias(p) for c, p in place.items()], key_part(text).alias("k1"), key_part(ident).alias("k2"), size.cast("long").alias("size")
+    )
+    keys = written(keyed.select("k1", "k2", "size"), "keys")
     bounds, rows = splitters(keys, shards, tolerance)
     blocks = max(LEAST_BLOCKS, -(-rows // (shards * BLOCK_ROWS)))
 
     def dealt(k1: Column, k2: Column) -> list[Column]:
         ends = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in bounds])
         shard = F.size(F.filter(ends, lambda e: e < F.struct(k1.alias("a"), k2.alias("b")))) if bounds else F.lit(0)
-        return [shard.cast("int").alias("_shard"), F.pmod(k2, F.lit(blocks)).cast("int").alias("_block")]
+        return [shard.cast("int").alias("shard"), F.pmod(k2, F.lit(blocks)).cast("int").alias("block")]
 
-    per = keys.select(*dealt(F.col("k1"), F.col("k2"))).groupBy("_shard", "_block").agg(F.count(F.lit(1)).alias("n"))
-    order = "partition by _shard order by _block rows between unbounded preceding and 1 preceding"
-    starts = written(per.select("_shard", "_block", F.expr(f"coalesce(sum(n) over ({order}), 0L)").alias("_start")), "starts")
-    place = "partition by _shard, _block order by _k1, _k2"
+    per = keys.select(*dealt(F.col("k1"), F.col("k2"))).groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    order = "partition by shard order by block rows between unbounded preceding and 1 preceding"
+    starts = written(per.select("shard", "block", F.expr(f"coalesce(sum(n) over ({order}), 0L)").alias("begin")), "starts")
+    dropped(keys)
+    at = "partition by shard, block order by k1, k2"
     return (
-        keyed.select(*names, "_k1", "_k2", *dealt(F.col("_k1"), F.col("_k2")))
-        .join(starts, ["_shard", "_block"])
-        .withColumns({"shard": F.col("_shard"), "slot": F.col("_start") + F.expr(f"row_number() over ({place})") - 1})
-        .drop("_k1", "_k2", "_shard", "_block", "_start")
+        keyed.select(*place.values(), "k1", "k2", *dealt(F.col("k1"), F.col("k2")))
+        .join(starts, ["shard", "block"])
+        .withColumn("slot", F.col("begin") + F.expr(f"row_number() over ({at})") - 1)
+        .select(*[F.col(p).alias(c) for c, p in place.items()], "shard", "slot")
     )
