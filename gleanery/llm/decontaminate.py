@@ -2,24 +2,27 @@
 
 Words stand for characters. For each pattern length there is a shift table over blocks of two
 words, which skips positions where no window can end, and buckets by the last block, whose
-patterns are compared word by word. Documents are read once and nothing is shuffled; the pattern
-tables go to the executors in blocks of bounded size.
+patterns are compared word by word. The pattern tables go to the executors in blocks of bounded
+size. With one block documents are read once and nothing is shuffled; with more they are read once for each,
+so that no worker ever holds two, and only what was found is put together.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import repeat
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.llm.common import written
+
 #: Words of a window.
 NGRAM = 10
-#: Bytes of benchmark text in one block of pattern tables. More text means more blocks, one pass after another
-#: in the same task, not larger tables.
+#: Bytes of benchmark text in one block of pattern tables. More text means more blocks, each with a pass of its own,
+#: not larger tables.
 BLOCK_BYTES = 16 << 20
 
 #: ASCII that is no word character is a blank, A-Z are lower-cased, bytes of other characters stay.
@@ -144,13 +147,36 @@ def find_benchmark(
     ``hits`` are the disjoint spans of words inside an occurrence of any window of ``ngram`` item
     words (all words of a shorter item); ``items`` the ids, as strings in order, of the items with
     an occurring window. Null texts have no words; items without words or with a null id match
-    nothing; items that repeat count once; empty tables give no hits or no rows. Columns with these three names are
-    replaced.
+    nothing; items that repeat count once; documents that repeat are each a row; texts may be of any length; empty tables give no hits or no rows. Columns with these three names are
+    replaced, all others pass through whatever their names.
     """
     names = [c for c in columns or docs.columns if c not in _ADDED.names]
-    spark = docs.sparkSession
-    tables = [spark.sparkContext.broadcast(t) for t in _blocks(benchmark, F.col(item_col), F.col(item_text_col), ngram)]
-    schema = T.StructType([docs.schema[c] for c in names] + list(_ADDED))
+    blocks = _blocks(benchmark, F.col(f"`{item_col}`"), F.col(f"`{item_text_col}`"), ngram)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return _pass(docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_searched")), names, first)
+    place = {c: f"c{i}" for i, c in enumerate(names)}
+    # a number for each row that stays the same in every pass, as it is written
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(p) for c, p in place.items()], F.col(f"`{text_col}`").alias("text")), "rows")
+    found = None
+    for block in chain((first, second), blocks):
+        part = written(_pass(rows.select("row", "text"), ["row"], block).where(F.size("hits") > 0), "hits")
+        found = part if found is None else found.unionByName(part)
+    spans = F.udf(lambda many: merged([(h["start"], h["length"]) for hits in many for h in hits]), _ADDED["hits"].dataType)
+    of = found.groupBy(F.col("row").alias("of")).agg(
+        spans(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    counted = _pass(rows.select("row", *place.values(), "text"), ["row", *place.values()], None).drop("hits", "items")
+    none = [F.array().cast(_ADDED[c].dataType) for c in ("hits", "items")]
+    return counted.join(of, F.col("row") == F.col("of"), "left").select(
+        *[F.col(p).alias(c) for c, p in place.items()], "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items")
+    )
+
+
+def _pass(rows: DataFrame, names: list[str], block: Tables | None) -> DataFrame:
+    """``names`` of ``rows``, whose last column is searched for the patterns of one block, and the three columns."""
+    tables = rows.sparkSession.sparkContext.broadcast(block)
+    schema = T.StructType([rows.schema[c] for c in names] + list(_ADDED))
 
     def searched(batches):
         for b in batches:
@@ -159,10 +185,9 @@ def find_benchmark(
             for i in range(b.num_rows):
                 ws = words(text[i].as_py())
                 found, ids = [], set()
-                for t in tables:
-                    for start, n, which in t.value.find(ws):
-                        found.append((start, n))
-                        ids |= which
+                for start, n, which in tables.value.find(ws) if tables.value else ():
+                    found.append((start, n))
+                    ids |= which
                 counts.append(len(ws))
                 spans.append([{"start": a, "length": n} for a, n in merged(found)])
                 items.append(sorted(ids))
@@ -170,4 +195,4 @@ def find_benchmark(
                 [*b.columns[:-1], *(pa.array(v, t) for v, t in zip((counts, spans, items), _ARROW))], names=[*names, *_ADDED.names]
             )
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_searched")).mapInArrow(searched, schema)
+    return rows.mapInArrow(searched, schema)
