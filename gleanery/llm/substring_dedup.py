@@ -146,7 +146,9 @@ def repeated_factors(
         dropped(old)
     whole = copies.groupBy("id").agg(F.max_by("n", "of").alias("length"), F.min("first").alias("reference"), F.max("of").alias("digest"))
     whole = whole.select("id", F.lit(0).cast("long").alias("start"), "length", "reference", F.lit(0).cast("long").alias("at"), "digest")
-    sure = factors.join(_read_again(factors, bare), ["reference", "at", "length"]).select(whole.columns).unionByName(whole)
+    again = _read_again(factors, bare)
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sure = factors.join(F.broadcast(again) if few else again, ["reference", "at", "length"]).select(whole.columns).unionByName(whole)
     packed = sure.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "reference", "at", "digest"))).alias("factors"))
     return written(packed, "factors")
 
