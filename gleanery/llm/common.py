@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.shared import dropped, shared_dir, written
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "ascii_lower", "dropped", "shared_dir", "table", "written"]
+__all__ = ["BLANKS", "BROADCAST_ROWS", "ascii_lower", "dropped", "placed", "shared_dir", "table", "written"]
 
 #: Rows up to which a written table is broadcast; those tables have a few numbers a row.
 BROADCAST_ROWS = 100_000
@@ -15,10 +15,17 @@ BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
 
 
+def placed(df: DataFrame, names: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns of ``df`` by their place (c0, c1, ...), so that no name can clash with an operator's own, and the way back."""
+    there = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    return there, [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

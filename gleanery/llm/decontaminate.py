@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import written
+from gleanery.llm.common import placed, written
 
 #: Words of a window.
 NGRAM = 10
@@ -153,28 +153,30 @@ def find_benchmark(
     names = [c for c in columns or docs.columns if c not in _ADDED.names]
     blocks = _blocks(benchmark, F.col(f"`{item_col}`"), F.col(f"`{item_text_col}`"), ngram)
     first, second = next(blocks, None), next(blocks, None)
+    there, back = placed(docs, names)
+    text = F.col(f"`{text_col}`").alias("text")
     if second is None:
-        return _pass(docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_searched")), names, first)
-    place = {c: f"c{i}" for i, c in enumerate(names)}
+        return _pass(docs.select(*there, text), first).select(*back, *_ADDED.names)
     # a number for each row that stays the same in every pass, as it is written
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(p) for c, p in place.items()], F.col(f"`{text_col}`").alias("text")), "rows")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *there, text), "rows")
     found = None
     for block in chain((first, second), blocks):
-        part = written(_pass(rows.select("row", "text"), ["row"], block).where(F.size("hits") > 0), "hits")
+        part = written(_pass(rows.select("row", "text"), block).where(F.size("hits") > 0), "hits")
         found = part if found is None else found.unionByName(part)
     spans = F.udf(lambda many: merged([(h["start"], h["length"]) for hits in many for h in hits]), _ADDED["hits"].dataType)
     of = found.groupBy(F.col("row").alias("of")).agg(
         spans(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    counted = _pass(rows.select("row", *place.values(), "text"), ["row", *place.values()], None).drop("hits", "items")
+    counted = _pass(rows, None).drop("hits", "items")
     none = [F.array().cast(_ADDED[c].dataType) for c in ("hits", "items")]
     return counted.join(of, F.col("row") == F.col("of"), "left").select(
-        *[F.col(p).alias(c) for c, p in place.items()], "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items")
+        *back, "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items")
     )
 
 
-def _pass(rows: DataFrame, names: list[str], block: Tables | None) -> DataFrame:
-    """``names`` of ``rows``, whose last column is searched for the patterns of one block, and the three columns."""
+def _pass(rows: DataFrame, block: Tables | None) -> DataFrame:
+    """``rows`` with the three columns in place of the last one, which is searched for the patterns of one block."""
+    names = rows.columns[:-1]
     tables = rows.sparkSession.sparkContext.broadcast(block)
     schema = T.StructType([rows.schema[c] for c in names] + list(_ADDED))
 

@@ -61,7 +61,9 @@ def near_duplicates(
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets;
     a component is all that links reach. Pairs are found by their bands (a pair at 85 % is missed
     with a chance below 1e-10) and confirmed on full sets. Documents without words have no shingles and are linked with nothing. Ids are
-    integers, rows of one id are one document; a null id stands for itself and is kept. An empty table gives none.
+    integers, rows of one id are one document; a null id stands for itself, has no component and is kept. Texts may be of any
+    length; of buckets with ties the least id is the hub, so the order of rows does not matter. Other columns are not read, whatever
+    their names. An empty table gives none.
     """
     out = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("of", T.BinaryType()),
@@ -85,7 +87,7 @@ def near_duplicates(
     signatures = written(bare.mapInArrow(signed, out), "signatures")
     linked = _linked(signatures.where("id is not null and of is not null"), bare, percent, shingle)
     named = signatures.join(linked, "of", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
     return named.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm import wordhash
-from gleanery.llm.common import BROADCAST_ROWS, dropped, written
+from gleanery.llm.common import BROADCAST_ROWS, dropped, placed, written
 
 WINDOW, ANCHOR = 50, 30
 #: Factors in all, of about 80 bytes each, up to which they are broadcast.
@@ -190,9 +190,11 @@ def substring_dedup(
     factors = repeated_factors(docs, window=window, id_col=id_col, text_col=text_col)
     few = factors.agg(F.coalesce(F.sum(F.size("factors")), F.lit(0))).first()[0] <= BROADCAST_FACTORS
     side = F.broadcast(factors) if few else factors
-    joined = docs.alias("d").join(side.alias("f"), F.col(f"d.`{id_col}`").cast("long") == F.col("f.id"), "left")
+    there, back = placed(docs, names)
+    mine = docs.select(*there, F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("text"))
+    joined = mine.join(side.select(F.col("id").alias("of"), "factors"), F.col("key") == F.col("of"), "left").drop("key", "of")
     schema = T.StructType(
-        [docs.schema[c] for c in names] + [T.StructField(text_col, T.StringType()), *_fields(("n_words", _LONG), ("n_removed", _LONG), ("factors", _FACTOR))]
+        joined.schema.fields[:-2] + [T.StructField("text", T.StringType()), *_fields(("n_words", _LONG), ("n_removed", _LONG), ("factors", _FACTOR))]
     )
 
     def removed(batches):
@@ -214,4 +216,4 @@ def substring_dedup(
                 [*b.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(used, _ARROW)], names=schema.names
             )
 
-    return joined.select(*[F.col(f"d.`{c}`") for c in names], F.col(f"d.`{text_col}`").alias("_t"), F.col("f.factors").alias("_f")).mapInArrow(removed, schema)
+    return joined.mapInArrow(removed, schema).select(*back, F.col("text").alias(text_col), *added)

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.llm.common import placed
+
 #: Bytes of a window, of the shared lead, of the spans, and of the shortest grams.
 WINDOW, LEAD, SPANS, GRAM = 96, 80, 4_096, 5
 #: A gram marks toxic text if it stands in this share of the toxic training documents, in so many of
@@ -335,21 +337,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
 def toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all by default) plus ``toxicity`` double (0 to 1) and ``toxic`` int (1 from
-    0.5 on). Null and empty texts save no bytes and score as the calibration has it for none. Without
-    a model every score is 0. Columns named so are replaced; an empty table gives none."""
+    0.5 on), a row for each row, repeated ones too. Texts are scored whole, whatever their length; null and empty ones save no
+    bytes and score as the calibration has it for none. Without a model every score is 0. Columns named so
+    are replaced, all others pass through whatever their names; an empty table gives none."""
     names = [c for c in columns or docs.columns if c not in ("toxicity", "toxic")]
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("toxicity"), F.lit(0).alias("toxic"))
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.IntegerType())])
+    there, back = placed(docs, names)
+    rows = docs.select(*there, F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType(rows.schema.fields[:-1] + [T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.IntegerType())])
 
     def scored(batches):
         scorer = Scorer(model)
         for b in batches:
             text = b.column(b.num_columns - 1)
             s = [scorer.score(text[i].as_py()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())],
-                names=[*names, "toxicity", "toxic"],
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_scored")).mapInArrow(scored, schema)
+    return rows.mapInArrow(scored, schema).select(*back, "toxicity", "toxic")

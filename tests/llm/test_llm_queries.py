@@ -4,13 +4,9 @@ import os
 import zlib
 
 import duckdb
-import numpy as np
 import pytest
 
 from gleanery.llm import queries as Q
-from gleanery.llm.decontaminate import Tables, words
-from gleanery.llm.line_dedup import line_dedup
-from gleanery.llm.minhash_dedup import shingles
 
 DIR = "/root/testdata/sf0.001"
 
@@ -40,38 +36,3 @@ def test_query(spark, db, name):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
-
-
-def test_pipeline(spark, db):
-    import corpus_pipeline as C
-    from gleanery.shared import written
-
-    assert [n for n, _ in C.STAGES][-1] == "packing" and C.ORACLE_SQL is None
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    columns, steps = docs.columns, []
-    for _, stage in C.STAGES:
-        docs = written(stage(spark, docs, DIR), "step")
-        steps.append(docs)
-    rows = [{r["doc_id"]: r for r in d.collect()} for d in steps[:4]]
-    assert all(d.columns == columns for d in steps[:4])
-    raw = dict(db.sql("select doc_id, text from documents").fetchall())
-    assert all(r["text"] == raw[i] for i, r in rows[0].items())
-    cleaned = {r["doc_id"]: r["text"] for r in line_dedup(steps[0]).collect()}
-    assert {i: r["text"] for i, r in rows[1].items()} == cleaned and all(r["n_chars"] == len(r["text"]) for r in rows[1].values())
-    sets = {i: set(shingles(r["text"]).tolist()) for i, r in rows[1].items()}
-    ids = sorted(sets)
-    least = {i: i for i in ids}
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    for _ in ids:
-        for a, b in links:
-            least[a] = least[b] = min(least[a], least[b])
-    assert set(rows[2]) == {i for i in ids if least[i] == i}
-    tables = Tables([(str(k), words(t)) for k, t in db.sql("select item_id, text from benchmark").fetchall()], 10)
-    assert set(rows[3]) == {i for i, r in rows[2].items() if not any(True for _ in tables.find(words(r["text"])))}
-    packed = steps[4].collect()
-    assert {r["doc_id"] for r in packed} == set(rows[3])
-    ends = {}
-    for r in packed:
-        ends[r["doc_id"]] = ends.get(r["doc_id"], 0) + r["length"]
-    assert all(r["doc_tokens"] == ends[r["doc_id"]] for r in packed)
-    assert np.bincount([r["sequence_id"] for r in packed], [r["length"] for r in packed]).max() <= 4096
