@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each over all that the one before has kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before has kept.
+
+All stages take documents as they come: null and empty texts, texts of any length, repeated rows
+and ids, further columns whatever their names, and empty tables, which give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -15,31 +19,35 @@ from gleanery.llm.toxicity import toxicity, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
+    """Documents that the classifier, fitted on the labelled ones, does not call toxic. Null and empty texts stay;
+    where no labels of both classes are there, all do."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return toxicity(docs, model).where("toxic = 0").select(docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more share; ``n_chars`` follows the text."""
+    """Documents without the lines that ten or more share; ``n_chars`` follows the text. Null texts come back empty; a
+    row that repeats is a document of its own, also where lines are counted."""
     return line_dedup(docs).select([F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id."""
-    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    """Of each group of near duplicates (five words, a similarity of 0.8) the document with the least id. Documents
+    without words are in no group; all rows of an id stay or go together, and rows without an id stay."""
+    gone = written(near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs. Null and empty texts stay."""
     found = find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens, the sources mixed evenly."""
+    """Pieces of all documents in sequences of 4096 tokens, the sources mixed evenly. Every row is packed, one without
+    text as its end id; a null source is a source like any other."""
     out = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -13,11 +13,15 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session does not name one (tests on one machine), a temporary folder."""
+    """``spark.checkpoint.dir``, or else the context's checkpoint folder. Where neither is named, a temporary
+    folder if driver and executors are one process, and an error on a cluster, whose executors would not see it."""
     global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"on {master}, spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="gleanery-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
