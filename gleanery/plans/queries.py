@@ -824,12 +824,12 @@ def structure_export(spark, sf_dir):
 
 @query()
 def film_rendering(spark, sf_dir):
-    """Each benchmark text as a raster of grey pixels one row high, rendered as a negative."""
-    from gleanery.sources.film import rendered
+    """Each benchmark text as a raster of pixels one row high, rendered as a negative."""
+    from gleanery.sources.film import Settings, rendered
 
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.expr("octet_length(text) div 4").cast("int").alias("width"), F.lit(1).alias("height"), F.encode("text", "UTF-8").alias("raw"))
     rows = b.select("file_id", "width", "height", F.substring("raw", F.lit(1), 4 * F.col("width")).alias("pixels"))
-    return rendered(rows, "color-negative").select("file_id", F.octet_length("rendered").alias("bytes"), F.crc32("rendered").alias("crc32"))
+    return rendered(rows, Settings("color-negative")).select("file_id", F.octet_length("rendered").alias("bytes"), F.crc32("rendered").alias("crc32"), "shadows", "highlights")
 
 
 @query()

@@ -97,16 +97,19 @@ def test_film():
     import numpy as np
     import pytest
 
-    from gleanery.sources.film import ranked, render
-
-    ramp = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, axis=1)
-    same, _ = render(ramp, "positive")
-    assert np.abs(same[:, 0].astype(int) - ramp[:, 0]).max() <= 1 and (same[:, 3] == 255).all()
-    turned, base = render(ramp, "mono-negative")
-    assert base == (243, 243, 243) and turned[10, 0] > turned[200, 0]
-    assert ranked(np.array([1, 1, 1, 1]), 0.5) == 1
-    with pytest.raises(ValueError):
-        render(ramp, "positive", exposure=3.0)
+    from gleanery.sources.film import Settings, develop, weighted_rank
+
+    ramp = np.repeat(np.arange(256, dtype=np.uint8)[None, :, None], 4, axis=2)
+    same = develop(ramp, Settings())
+    assert np.abs(same.pixels[0, :, 0].astype(int) - ramp[0, :, 0]).max() <= 1 and (same.pixels[..., 3] == 255).all() and same.shadows == same.highlights == 0.8
+    turned = develop(ramp, Settings("mono-negative"))
+    assert turned.base == (243, 243, 243) and turned.pixels[0, 10, 0] > turned.pixels[0, 200, 0]
+    assert develop(ramp, Settings("mono-negative", base=(9, 9, 9))).base == (9, 9, 9)
+    assert develop(np.repeat(ramp, 10, axis=0), Settings(crop=(0.25, 0.1, 0.25, 0.1))).pixels.shape == (8, 128, 4)
+    assert weighted_rank(np.array([3, 1, 2]), np.array([1, 1, 2]), 0.5) == 2
+    for wrong in ({"exposure": 3.0}, {"mode": "sepia"}, {"base": (0, 1, 1)}, {"crop": (0.5, 0, 0, 0)}):
+        with pytest.raises(ValueError):
+            Settings(**wrong)
 
 
 def test_structures_and_tables(spark):

@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
+from gleanery.plans import more
 from gleanery.plans import queries as plans
 
+QUERIES, SQL = {**plans.QUERIES, **more.QUERIES}, {**plans.SQL, **more.SQL}
+
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -25,11 +28,11 @@ def plain(rows):
     return sorted((tuple(round(float(v), 5) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
-    got = plans.QUERIES[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     columns = sorted(got.columns)
-    want = db.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({plans.SQL[name]})").fetchall()
+    want = db.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({SQL[name]})").fetchall()
     assert plain(map(tuple, got.select(*[f"`{c}`" for c in columns]).collect())) == plain(want)
 
 
