@@ -179,7 +179,7 @@ def stored_archives(files: DataFrame, group: str, most_bytes: int = 1 << 30) ->
     good = size.where((F.col("n") <= most_bytes) & ~F.col("bad")).select("of")
     ok = files.join(good, F.col("group").eqNullSafe(F.col("of")), "left_semi")
 
-    def made(key, table: pa.Table) -> pa.Table:
+    def made(key, table):
         out, seen, rows = io.BytesIO(), {}, sorted(zip(table["name"].to_pylist(), table["content"].to_pylist()))
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
             for name, data in rows:
