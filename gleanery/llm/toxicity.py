@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import re
 import zlib
 from collections import defaultdict
@@ -332,7 +333,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
             ids.append((r["_id"], r["h"]))
     kept = docs.sparkSession.createDataFrame(ids, T.StructType([docs.schema[id_col], T.StructField("h", T.LongType())])).toDF("_id", "h")
     one = texts.join(F.broadcast(kept), "_id").where(F.xxhash64("_t") == F.col("h")).dropDuplicates(["_id"])
-    return fit([(r[0], int(r[1])) for r in one.select("_t", "_y").collect()])
+
+
+    def fitted(batches):
+        rows = [(t, int(y)) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    # the sample is as large as its bounds at most, so one task can fit; the driver sees the model alone
+    made = one.select("_t", F.col("_y").cast("int").alias("_y")).repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None
 
 
 def toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
