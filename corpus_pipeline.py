@@ -32,9 +32,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, a similarity of 0.8) the document with the least id. Documents
+    """Of each group of near duplicates (five words, a similarity of 0.85) the document with the least id. Documents
     without words are in no group; all rows of an id stay or go together, and rows without an id stay."""
-    gone = written(near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
+    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
