@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import struct
 
+from gleanery.sources.office import message, word_text
+
 # Property numbers of the summary sets, by the kind of finding they make.
 SUMMARY = {2: "title", 3: "subject", 4: "author", 5: "keywords", 6: "description", 7: "template", 8: "editor", 9: "revisions", 18: "application"}
 DOCUMENT = {2: "category", 14: "manager", 15: "company"}
+#: Streams that tell what a compound file is.
+KINDS = {"WordDocument": "Word document", "Workbook": "Excel workbook", "Book": "Excel workbook", "PowerPoint Document": "PowerPoint presentation"}
 _SETS = {"\x05SummaryInformation": SUMMARY, "\x05DocumentSummaryInformation": DOCUMENT}
 
 
@@ -43,10 +47,23 @@ def read(d: bytes, f, root: int) -> None:
             streams.append((name, kind, start, length))
     if not streams:
         f.problem("damage", "directory missing", 0, len(d))
+    def body(start: int, length: int) -> bytes:
+        part = [store[i * small : (i + 1) * small] for i in _chain(short, start)] if length < cutoff else [sector(i) for i in _chain(fat, start)]
+        return b"".join(part)[:length]
+
+    names = {name for name, kind, _, _ in streams if kind == 2}
+    is_message = any(n.startswith("__properties_version") for n in names)
+    f.node(root, "kind", 0, 0, "message" if is_message else next((k for n, k in KINDS.items() if n in names), "compound file"))
     for name, kind, start, length in streams:
         if kind == 2 and name in _SETS:
-            part = [store[i * small : (i + 1) * small] for i in _chain(short, start)] if length < cutoff else [sector(i) for i in _chain(fat, start)]
-            _properties(b"".join(part)[:length], _SETS[name], f, root)
+            _properties(body(start, length), _SETS[name], f, root)
+    if is_message:
+        message({n: body(s, k) for n, kind, s, k in streams if kind == 2 and n.startswith("__substg1.0_") and k < 1 << 20}, f, root)
+    for name, kind, start, length in streams:
+        if kind == 2 and name == "WordDocument" and (span := word_text(body(start, min(length, 4096)))):
+            f.node(root, "text", span[0], max(0, span[1] - span[0]))
+        if kind == 2 and name in ("VBA", "_VBA_PROJECT"):
+            f.fact("scripts", "macros", root)
 
 
 def _properties(b: bytes, kinds: dict[int, str], f, root: int) -> None:

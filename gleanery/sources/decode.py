@@ -13,8 +13,12 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from html.parser import HTMLParser
 
+from gleanery.sources.pictures import Pixels, captions, heif_items, png_chunk, profile, xmp
+from gleanery.sources.unpack import inflated
+
 #: Nodes of one file; one more says that the limit was reached.
 MOST_NODES = 500_000
 DAMAGE, HIDDEN, ODDITY = "damage", "hidden", "oddity"
@@ -42,6 +46,11 @@ class Found:
         if concern == DAMAGE:
             self.complete = False
 
+    def bound(self, what: str, start: int, length: int) -> None:
+        """Some of the file is not read, as a bound was reached: a problem, and the result is partial."""
+        self.problems.append((ODDITY, f"more {what} than are read", start, length))
+        self.complete = False
+
     def fact(self, kind: str, text: object, node: int) -> None:
         if str(text).strip():
             self.facts.append((kind, str(text).strip(), node))
@@ -61,18 +70,25 @@ COMMENT_KINDS = {"TITLE": "title", "ARTIST": "artist", "ALBUM": "album", "ALBUMA
                  "GENRE": "genre", "COMPOSER": "composer", "ENCODER": "encoder", "ORGANIZATION": "organization", "LOCATION": "location", "COMMENT": "comment"}
 ID3_KINDS = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TPE2": "album-artist", "TYER": "year", "TDRC": "year", "TRCK": "track", "TPOS": "disc",
              "TCON": "genre", "TCOM": "composer", "TSSE": "encoder", "COMM": "comment"}
+OLD_ID3 = {"TT2": "title", "TP1": "artist", "TAL": "album", "TP2": "album-artist", "TYE": "year", "TRK": "track", "TPA": "disc", "TCO": "genre", "TCM": "composer", "TSS": "encoder"}
 INFO_KINDS = {"INAM": "title", "IART": "artist", "IPRD": "album", "ICMT": "description", "ICOP": "copyright", "ICRD": "created", "ISFT": "software",
               "IENG": "engineer", "IKEY": "keywords", "ISBJ": "subject", "IARL": "place", "ITRK": "track"}
+MOVIE_KINDS = {"\xa9nam": "title", "\xa9too": "encoder", "\xa9ART": "artist", "\xa9alb": "album", "aART": "album-artist", "\xa9day": "created", "\xa9cmt": "comment", "\xa9gen": "genre",
+               "\xa9wrt": "composer", "\xa9mak": "camera", "\xa9mod": "camera", "\xa9swr": "software", "desc": "description", "cprt": "copyright"}
 RTF_KINDS = {"title": "title", "subject": "subject", "author": "author", "operator": "editor", "keywords": "keywords", "doccomm": "description", "company": "company", "manager": "manager", "category": "category"}
-OFFICE_KINDS = {"creator": "author", "lastModifiedBy": "editor", "title": "title", "subject": "subject", "keywords": "keywords", "description": "description", "created": "created",
-                "modified": "modified", "revision": "revisions", "Company": "company", "Manager": "manager", "Application": "application", "Template": "template"}
+
+
+# First bytes of familiar formats that are named, not read.
+FAMILIAR = [(b"7z\xbc\xaf\x27\x1c", "7z archive"), (b"Rar!\x1a\x07", "RAR archive"), (b"\x1f\x8b", "gzip stream"), (b"BZh", "bzip2 stream"), (b"\xfd7zXZ\0", "xz stream"),
+            (b"\x28\xb5\x2f\xfd", "zstd stream"), (b"MZ", "Windows program"), (b"\x7fELF", "ELF program"), (b"SQLite format 3\0", "SQLite database"), (b"\0\1\0\0\0", "TrueType font"),
+            (b"OTTO", "OpenType font"), (b"BM", "bitmap"), (b"PAR1", "Parquet table")]
 
 
 def png(d: bytes, f: Found, root: int) -> None:
     f.node(root, "signature", 0, 8)
     if d[:8] != b"\x89PNG\r\n\x1a\n":
         f.problem(DAMAGE, "signature damaged", 0, 8)
-    at, ended, pixels = 8, False, bytearray()
+    at, ended, pixels = 8, False, None
     while at + 12 <= len(d):
         (n,) = struct.unpack_from(">I", d, at)
         kind, body = d[at + 4 : at + 8].decode("latin-1"), d[at + 8 : at + 8 + n]
@@ -84,6 +100,7 @@ def png(d: bytes, f: Found, root: int) -> None:
             f.problem(DAMAGE, f"{kind} checksum differs", at + 8 + n, 4)
         if kind == "IHDR" and n >= 13:
             w, h, depth, color = struct.unpack_from(">IIBB", body)
+            pixels = Pixels(w, h, depth, color, body[12])
             for label, value, o, size in (("width", w, 0, 4), ("height", h, 4, 4), ("bit depth", depth, 8, 1), ("color type", color, 9, 1)):
                 f.node(c, label, at + 8 + o, size, value)
         elif kind == "tEXt":
@@ -92,31 +109,34 @@ def png(d: bytes, f: Found, root: int) -> None:
             f.fact(PNG_KINDS.get(_text(key, "latin-1"), "description"), _text(value, "latin-1"), c)
         elif kind in ("zTXt", "iTXt"):
             key, _, rest = body.partition(b"\0")
-            value = b""
-            try:
-                if kind == "zTXt":
-                    value = zlib.decompressobj().decompress(rest[1:], 1 << 20)
-                else:
-                    value = rest[2:].split(b"\0", 2)[2]
-                    value = zlib.decompressobj().decompress(value, 1 << 20) if rest[:1] == b"\1" else value
-            except (zlib.error, IndexError):
-                f.problem(DAMAGE, f"{kind} does not unpack", at, n)
-            f.fact(PNG_KINDS.get(_text(key), "description"), _text(value), c)
+            parts = rest[2:].split(b"\0", 2) if kind == "iTXt" else [rest[1:]]
+            value = parts[-1] if len(parts) in (1, 3) else b""
+            if kind == "zTXt" or rest[:1] == b"\1":
+                got = inflated(value)
+                value = got.data
+                if got.error:
+                    f.problem(DAMAGE, f"{kind} {got.error}", at, n)
+                elif not got.whole:
+                    f.bound("characters of a text", at, n)
+            if key == b"XML:com.adobe.xmp":
+                xmp(value, f, c, at + 8)
+            else:
+                f.fact(PNG_KINDS.get(_text(key), "description"), _text(value), c)
         elif kind == "tIME" and n == 7:
             f.fact("modified", "%04d-%02d-%02d %02d:%02d:%02d" % struct.unpack(">HBBBBB", body), c)
         elif kind == "eXIf":
             tiff(body, f, c, at + 8)
         elif kind == "IDAT":
-            pixels += body
+            if pixels is not None:
+                pixels.add(body)
+        else:
+            png_chunk(kind, body, f, c, at + 8)
         at += 12 + n
         if kind == "IEND":
             ended = True
             break
-    if pixels:
-        try:
-            zlib.decompress(bytes(pixels))
-        except zlib.error:
-            f.problem(DAMAGE, "image data does not unpack", 8, len(d) - 8)
+    if pixels is not None:
+        pixels.told(f)
     if not ended:
         f.problem(DAMAGE, "end chunk missing", len(d), 0)
     elif at < len(d):
@@ -170,7 +190,7 @@ def tiff(d: bytes, f: Found, root: int, base: int = 0) -> None:
 
 
 def jpeg(d: bytes, f: Found, root: int) -> None:
-    at = 2
+    at, parts = 2, {}
     f.node(root, "SOI", 0, 2)
     while at + 4 <= len(d):
         if d[at] != 0xFF:
@@ -190,6 +210,20 @@ def jpeg(d: bytes, f: Found, root: int) -> None:
         c = f.node(root, f"marker {mark:02x}", at, 2 + n)
         if mark == 0xE1 and body[:6] == b"Exif\0\0":
             tiff(body[6:], f, c, at + 10)
+        elif mark == 0xE1 and body[:29] == b"http://ns.adobe.com/xap/1.0/\0":
+            xmp(body[29:], f, c, at + 33)
+        elif mark == 0xED and body[:14] == b"Photoshop 3.0\0":
+            captions(body[14:], f, c, at + 18)
+        elif mark == 0xE2 and body[:12] == b"ICC_PROFILE\0" and len(body) > 14:
+            parts[body[12]] = (at + 18, body[14:])
+            if len(parts) == body[13]:
+                profile(b"".join(parts[i][1] for i in sorted(parts)), f, c, parts[min(parts)][0])
+        elif mark == 0xE2 and body[:4] == b"MPF\0":
+            more = body.count(b"\0\3\0\0", 4)
+            f.node(c, "further pictures", at + 4, n, more)
+            f.fact("embedded", "further pictures", c)
+        elif mark == 0xEB and b"c2pa" in body:
+            f.fact("credentials", "content credentials", c)
         elif mark == 0xFE:
             f.fact("comments", _text(body), c)
         elif 0xC0 <= mark <= 0xC3 and len(body) >= 5:
@@ -254,6 +288,8 @@ def riff(d: bytes, f: Found, root: int) -> None:
         while at + 8 <= end:
             name = d[at : at + 4].decode("latin-1")
             (n,) = struct.unpack_from(order + "I", d, at + 4)
+            if n == 0xFFFFFFFF and name == "data" and wide:
+                n = wide[1]
             if at + 8 + n > end:
                 f.problem(DAMAGE, f"{name.strip()} cut short", at, end - at)
                 n = end - at - 8
@@ -266,11 +302,18 @@ def riff(d: bytes, f: Found, root: int) -> None:
             elif name == "bext" and n >= 346:
                 for kind, a, b in (("description", 0, 256), ("originator", 256, 288), ("broadcast-reference", 288, 320), ("created", 320, 338)):
                     f.fact(kind, _text(body[a:b], "latin-1"), c)
+            elif name in ("XMP ", "_PMX"):
+                xmp(body, f, c, at + 8)
+            elif name == "ICCP":
+                profile(body, f, c, at + 8)
             elif name == "EXIF":
                 tiff(body[6:] if body[:6] == b"Exif\0\0" else body, f, c, at + 8)
             at += 8 + n + (n & 1)
 
     total = struct.unpack_from(order + "I", d, 4)[0] + 8 if len(d) >= 8 else 0
+    # of RF64 and BW64 files the sizes stand in a chunk of their own
+    wide = struct.unpack_from("<QQ", d, 20) if d[:4] in (b"RF64", b"BW64") and d[12:16] == b"ds64" and len(d) >= 36 else None
+    total = wide[0] + 8 if wide else total
     walk(at, min(total, len(d)), root)
     if total > len(d):
         f.problem(DAMAGE, "cut short", len(d), 0)
@@ -298,14 +341,18 @@ def boxes(d: bytes, f: Found, root: int) -> None:
                 walk(at + head, at + n, c, depth + 1)
             elif name == "meta" and depth < 16:
                 walk(at + head + 4, at + n, c, depth + 1)
+                if depth == 0:
+                    heif_items(d, (at + head + 4, at + n), f, c)
             elif name == "mvhd" and len(body) >= 8:
-                made = struct.unpack_from(">I", body, 4)[0] - 2_082_844_800
-                if made > 0:
-                    f.fact("created", made, c)
+                made = struct.unpack_from(">Q" if body[0] == 1 else ">I", body, 4)[0] - 2_082_844_800
+                if 0 < made < 1 << 33:
+                    f.fact("created", f"{datetime.fromtimestamp(made, UTC):%Y-%m-%d %H:%M:%S}", c)
             elif name == "\xa9xyz":
                 f.fact("location", _text(body[4:]), c)
-            elif name in ("\xa9nam", "\xa9too", "\xa9ART") and b"data" in body[:8]:
-                f.fact({"\xa9nam": "title", "\xa9too": "encoder", "\xa9ART": "artist"}[name], _text(body[16:]), c)
+            elif name in MOVIE_KINDS:
+                f.fact(MOVIE_KINDS[name], _text(body[16:] if body[4:8] == b"data" else body[4:]), c)
+            elif name == "uuid" and body[:16].hex() == "be7acfcb97a942e89c71999491e3afac":
+                xmp(body[16:], f, c, at + head + 16)
             at += n
         if at < end:
             f.problem(DAMAGE, "box cut short", at, end - at)
@@ -314,24 +361,25 @@ def boxes(d: bytes, f: Found, root: int) -> None:
 
 
 def archive(d: bytes, f: Found, root: int) -> None:
-    from gleanery.sources.archive import entries
+    from gleanery.sources import office
+    from gleanery.sources.archive import checked, entries
 
     rows, end, trouble = entries(d)
-    for concern, label, at, n in trouble:
+    for concern, label, at, n in trouble + checked(rows):
         f.problem(concern, label, at, n)
+        f.complete &= not label.endswith("larger than what is made sure of")
+    nodes = {}
     for e in rows:
-        c = f.node(root, e["name"], e["offset"], e["span"])
+        nodes[e["name"]] = c = f.node(root, e["name"], e["offset"], e["span"])
         f.node(c, "size", e["offset"], 0, e["size"])
-        body = e["read"]() if re.search(r"(docProps/(core|app)\.xml|meta\.xml)$", e["name"]) else None
-        for tag, kind in OFFICE_KINDS.items() if body else ():
-            m = re.search(rf"<(?:\w+:)?{tag}[^>]*>([^<]*)</".encode(), body)
-            if m:
-                f.fact(kind, _text(m[1]), c)
+    if any(e["locked"] for e in rows):
+        f.fact("encryption", "locked members", root)
+    office.facts(rows, nodes, f)
     f.node(root, "directory", end, max(0, len(d) - end))
 
 
 def ogg(d: bytes, f: Found, root: int) -> None:
-    at, body = 0, bytearray()
+    at, body, cut = 0, bytearray(), False
     while at + 27 <= len(d) and d[at : at + 4] == b"OggS":
         n = d[at + 26]
         size = 27 + n + sum(d[at + 27 : at + 27 + n])
@@ -343,8 +391,10 @@ def ogg(d: bytes, f: Found, root: int) -> None:
         if _ogg_sum(page) != struct.unpack_from("<I", d, at + 22)[0]:
             f.problem(DAMAGE, "page checksum differs", at + 22, 4)
         f.node(root, "page", at, size)
-        if len(body) < 1 << 20:
+        if len(body) < 1 << 24:
             body += d[at + 27 + n : at + size]
+        elif not cut:
+            cut = True  # comments stand in the first packets
         at += size
     if at < len(d) and f.complete:
         f.problem(HIDDEN, "data after the end", at, len(d) - at)
@@ -376,7 +426,7 @@ def _comments(b: bytes, f: Found, node: int) -> None:
         at = 4 + struct.unpack_from("<I", b)[0]
         f.fact("encoder", _text(b[4:at]), node)
         (n,), at = struct.unpack_from("<I", b, at), at + 4
-        for _ in range(min(n, 10_000)):
+        for _ in range(n):
             (size,), at = struct.unpack_from("<I", b, at), at + 4
             key, _, value = b[at : at + size].partition(b"=")
             f.fact(COMMENT_KINDS.get(_text(key).upper(), "audio-tag"), _text(value), node)
@@ -410,7 +460,14 @@ def mp3(d: bytes, f: Found, root: int) -> None:
         if 10 + size > len(d):
             f.problem(DAMAGE, "tag cut short", 0, len(d))
         at, end = 10, min(10 + size, len(d))
-        while at + 10 <= end and d[at]:
+        while d[3] == 2 and at + 6 <= end and d[at]:
+            name, n = d[at : at + 3].decode("latin-1"), int.from_bytes(d[at + 3 : at + 6], "big")
+            c = f.node(tag, name, at, 6 + n)
+            body = d[at + 6 : at + 6 + n]
+            if name in OLD_ID3 and body:
+                f.fact(OLD_ID3[name], _text(body[1:], "utf-16" if body[0] == 1 else "latin-1"), c)
+            at += 6 + n
+        while d[3] > 2 and at + 10 <= end and d[at]:
             name = d[at : at + 4].decode("latin-1")
             n = int.from_bytes(d[at + 4 : at + 8], "big") if d[3] < 4 else sum((b & 0x7F) << 7 * (3 - i) for i, b in enumerate(d[at + 4 : at + 8]))
             c = f.node(tag, name, at, 10 + n)
@@ -426,6 +483,19 @@ def mp3(d: bytes, f: Found, root: int) -> None:
         c = f.node(root, "ID3v1", len(d) - 128, 128)
         for kind, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
             f.fact(kind, _text(d[-128:][a:b], "latin-1"), c)
+    tail = len(d) - (128 if d[-128:-125] == b"TAG" else 0)
+    if d[tail - 32 : tail - 24] == b"APETAGEX":
+        size, n = struct.unpack_from("<II", d, tail - 20)
+        start = max(0, tail - size)
+        c, o = f.node(root, "APE tag", start, tail - start), start
+        for _ in range(n):
+            if o + 8 > tail - 32:
+                break
+            (length,) = struct.unpack_from("<I", d, o)
+            name, _, _ = d[o + 8 : o + 264].partition(b"\0")
+            value = d[o + 9 + len(name) : o + 9 + len(name) + length]
+            f.fact(COMMENT_KINDS.get(_text(name).upper(), "audio-tag"), _text(value), c)
+            o += 9 + len(name) + length
     f.node(root, "frames", at, len(d) - at)
 
 
@@ -458,6 +528,40 @@ def wasm(d: bytes, f: Found, root: int) -> None:
                 f.fact("sourcemap", _text(d[b : b + m]), c)
             elif name.startswith(".debug"):
                 f.fact("debug", name, c)
+            elif name == "producers":
+                fields, b = number(a + size)
+                for _ in range(fields):
+                    k, b = number(b)
+                    field_, b = _text(d[b : b + k]), b + k
+                    many, b = number(b)
+                    for _ in range(many):
+                        k, b = number(b)
+                        what, b = _text(d[b : b + k]), b + k
+                        k, b = number(b)
+                        f.fact({"language": "language", "sdk": "sdk"}.get(field_, "toolchain"), f"{what} {_text(d[b : b + k])}", c)
+                        b += k
+        elif kind == 2:
+            many, b = number(body)
+            mods: dict[str, int] = {}
+            for _ in range(many):
+                k, b = number(b)
+                mod, b = _text(d[b : b + k]), b + k
+                k, b = number(b)
+                what, b = _text(d[b : b + k]), b + k
+                f.node(c, f"{mod}.{what}", b, 1)
+                mods[mod] = mods.get(mod, 0) + 1
+                if b >= len(d) or d[b] > 3:
+                    break
+                if d[b] == 0:
+                    _, b = number(b + 1)
+                elif d[b] == 3:
+                    b += 3
+                else:
+                    b += 2 if d[b] == 1 else 1
+                    limits, (_, b) = d[b] if b < len(d) else 0, number(b + 1)
+                    b = number(b)[1] if limits & 1 else b
+            for mod, k in mods.items():
+                f.fact("imports", f"{k} of {mod}", c)
         at = body + n
 
 
@@ -500,6 +604,13 @@ def eml(d: bytes, f: Found, root: int) -> None:
 
 
 def svg(d: bytes, f: Found, root: int) -> None:
+    if d[:2] == b"\x1f\x8b":
+        got = inflated(d, 31)
+        if got.error:
+            f.problem(DAMAGE, f"picture {got.error}", 0, len(d))
+        elif not got.whole:
+            f.bound("bytes of a picture", 0, len(d))
+        d = got.data
     t = d.decode("utf-8", "replace")
     if "</svg>" not in t and not re.search(r"<svg[^>]*/>", t):
         f.problem(DAMAGE, "svg element does not close", len(d), 0)
@@ -563,6 +674,9 @@ def text(d: bytes, f: Found, root: int) -> None:
     """Accounts and addresses of bytes of no known format, in ASCII and UTF-16."""
     from gleanery.functions.dims import NOT_DOMAINS, NOT_PEOPLE
 
+    known = next((name for mark, name in FAMILIAR if d.startswith(mark)), None)
+    plain = not re.search(rb"[\x00-\x08\x0e-\x1a\x1c-\x1f]", d[:65_536])
+    f.node(root, "kind", 0, 0, known or ("empty" if not d else "text" if plain else "binary"))
     seen: dict[str, dict[str, str]] = {"account": {}, "emails": {}}
     for t in (d.decode("latin-1"), d.decode("utf-16-le", "replace") if b"\0" in d[:4096] else ""):
         for m in re.finditer(r"(?:/Users/|/home/)([A-Za-z0-9._ -]{1,64})/|\\Users\\([A-Za-z0-9._ -]{1,64})\\", t):
