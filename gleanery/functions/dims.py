@@ -14,16 +14,80 @@ artist album album-artist year track disc genre composer encoder organization au
 thumbnail paths account emails names toolchain language imports sourcemap debug category status encryption screenshot
 copyright engineer originator broadcast-reference opens scripts launch submits sdk debuginfo""".split()
 
-# Kinds whose removal a clean copy of a format can prove.
-_AUDIO = "title artist album album-artist year track disc genre composer encoder comment audio-tag".split()
-REMOVABLE = {
-    "rtf": "title subject author editor keywords description category created modified revisions company manager".split(),
-    "office97": "title subject author editor keywords description category created modified revisions company manager application editing template".split(),
-    "svg": "original links software author company title created description keywords embedded photoplace".split(),
-    "mp3": _AUDIO, "flac": [*_AUDIO, "organization", "location"], "ogg": [*_AUDIO, "organization", "location"],
-    "wav": "title artist album description copyright created software engineer keywords subject place track audio-tag originator broadcast-reference history".split(),
-    "text": ["account", "emails", "addresses"],
-}
+# Kinds whose removal a clean copy can prove, with the formats in which it can.
+PROVEN = """
+covered: pdf
+hiddentext: pdf
+location: jpeg png webp heif tiff video flac ogg
+downloaded: zip
+folder: zip
+deleted: zip rtf
+attachments: pdf
+embedded: svg
+links: svg
+photoplace: zip svg
+serial: jpeg png webp heif tiff
+owner: jpeg png webp heif tiff video
+author: pdf zip office97 rtf svg
+editor: zip office97 rtf
+manager: zip office97 rtf
+company: zip office97 rtf svg
+label: zip
+comments: pdf rtf
+tracked: zip rtf
+photo: zip
+camera: jpeg png webp heif tiff video
+place: wav
+original: svg
+caption: png
+lens: jpeg png webp heif tiff
+taken: jpeg png webp heif tiff video
+created: pdf zip office97 rtf svg wav
+modified: pdf zip office97 rtf
+editing: zip office97 rtf
+revisions: zip office97 rtf
+history: pdf wav
+prompt: png
+ai: png
+software: jpeg png webp heif tiff video svg wav
+application: pdf zip office97 rtf
+producer: pdf
+template: zip office97 rtf
+custom: zip rtf
+printer: zip
+printed: zip rtf
+title: pdf zip office97 rtf svg mp3 flac ogg wav
+artist: mp3 flac ogg wav
+album: mp3 flac ogg wav
+album-artist: mp3 flac ogg
+year: mp3 flac ogg
+track: mp3 flac ogg wav
+disc: mp3 flac ogg
+genre: mp3 flac ogg
+composer: mp3 flac ogg
+encoder: mp3 flac ogg
+organization: flac ogg
+audio-tag: mp3 flac ogg wav
+subject: pdf zip office97 rtf wav
+keywords: pdf zip office97 rtf svg wav
+description: zip office97 rtf svg wav
+tags: zip
+thumbnail: jpeg webp zip
+category: zip office97 rtf
+status: zip
+copyright: wav
+engineer: wav
+originator: wav
+broadcast-reference: wav
+account: text
+emails: text
+addresses: text
+"""
+REMOVABLE: dict[str, list[str]] = {}
+for _line in PROVEN.split("\n")[1:-1]:
+    _kind, _, _formats = _line.partition(": ")
+    for _format in _formats.split():
+        REMOVABLE.setdefault(_format, []).append(_kind)
 
 # Accounts that are nobody's, and what only looks like a domain.
 NOT_PEOPLE = ["shared", "public", "default", "default user", "all users", "runner", "root", "user", "username"]

@@ -683,9 +683,13 @@ def node_depths(spark, sf_dir):
 
 @query()
 def clean_receipts(spark, sf_dir):
-    from gleanery.sources.rewrite import clean_copies, receipts
+    """Clean copies of the sample files and of all pages as files, read again and compared with what they are copies of."""
+    from gleanery.sources.files import from_table
+    from gleanery.sources.rewrite import verified_copies
 
-    return receipts(clean_copies(_sample_files(spark)))
+    pages = table(spark, sf_dir, "pages").withColumn("id", F.concat(F.lit("page-"), "page_id"))
+    _, receipts = verified_copies(_sample_files(spark).unionByName(from_table(pages, "id", "html").drop("length")))
+    return receipts
 
 
 @query()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import email
+import email.policy
 import hashlib
-import io
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-from gleanery.operators.sniff import identified
+from gleanery.operators.sniff import identified, refined
 from gleanery.sources.decode import decode
 
 LONG = T.StructType([
@@ -34,6 +34,7 @@ def inspect(files: DataFrame, format_col: str | None = None) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 ident, form, content = (b.column(c)[i].as_py() for c in range(3))
+                form = refined(content or b"", form)
                 f = decode(content, form)
                 rows.append((ident, form, "file", 0, None, form, None, 0, len(content or b""), f.complete))
                 rows += [(ident, form, "node", n, p, label, v, s, size, None) for n, p, label, s, size, v in f.nodes]
@@ -87,58 +88,173 @@ class ArchiveEntries:
 def register(spark: SparkSession) -> None:
     """The table functions under their SQL names."""
     spark.udtf.register("nodes", Nodes)
-    spark.udtf.register("archive_entries", ArchiveEntries)
+    named = {
+        "archive_entries": ArchiveEntries, "deflate_blocks": DeflateBlocks, "facts": Facts, "problems": Problems, "members": Members, "page_marks": PageMarks,
+    }
+    for name, function in named.items():
+        spark.udtf.register(name, function)
 
 
-def members(files: DataFrame, most_bytes: int = 1 << 24) -> DataFrame:
-    """Files inside archives and messages as files of their own: ``file_id, parent_file_id, name, length, content``."""
-    import email
-    import email.policy
+_MEMBER = T.StructType([
+    T.StructField("file_id", T.StringType()), T.StructField("parent_file_id", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType()),
+])
+
 
-    schema = "file_id string, parent_file_id string, name string, length bigint, content binary"
+def opened(content: bytes, form: str, most: int):
+    """Files inside one: (name, content or None, why not). Each is unpacked when it is reached, so one at a time is held."""
+    import re
 
-    def opened(batches):
+    from gleanery.sources import archive, compound, pages
+
+    if form == "zip":
+        for e in archive.entries(content)[0]:
+            if not e["name"].endswith("/"):
+                got = e["unpack"](most)
+                yield e["name"], got.data if not got.error and got.whole else None, got.error or (None if got.whole else "too large")
+    elif form == "eml":
+        for p in email.message_from_bytes(content, policy=email.policy.default).walk():
+            if p.get_filename() or p.get_content_disposition() == "attachment":
+                data = p.get_payload(decode=True) or b""
+                yield p.get_filename() or "", data if len(data) <= most else None, None if len(data) <= most else "too large"
+    elif form == "pdf":
+        found = pages.objects(content)
+        for number, body in found.items():
+            named, at = re.search(rb"/(?:UF|F)\s*\(((?:\\.|[^\\()])*)\)", body), re.search(rb"/EF\s*<<[^>]*?/(?:UF|F)\s+(\d+)\s+\d+\s+R", body)
+            if at:
+                data = pages.stream(found.get(int(at[1]), b""))
+                yield named[1].decode("latin-1") if named else f"object {number}", data, None if data is not None else "does not unpack"
+    elif form == "cfb":
+        yield from ((n, x, None) for n, x in compound.attachments(content))
+
+
+def members(files: DataFrame, most_bytes: int = 1 << 26) -> DataFrame:
+    """Files inside archives, messages and documents as files of their own: ``file_id, parent_file_id, depth, name, length, content,
+    error``. A member larger than ``most_bytes``, or one that does not unpack, is a row without content that says why."""
+    depth = F.col("depth") if "depth" in files.columns else F.lit(0)
+
+    def run(batches):
         for b in batches:
-            out = []
             for i in range(b.num_rows):
-                ident, form, content = (b.column(c)[i].as_py() for c in range(3))
-                found: list[tuple[str, bytes]] = []
+                ident, form, d, content = (b.column(c)[i].as_py() for c in range(4))
                 try:
-                    if form == "zip":
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            found = [(n.filename, z.read(n)) for n in z.infolist() if n.file_size <= most_bytes and not n.is_dir()]
-                    elif form == "eml":
-                        parts = email.message_from_bytes(content, policy=email.policy.default).iter_attachments()
-                        found = [(p.get_filename() or "", p.get_payload(decode=True) or b"") for p in parts]
+                    for j, (name, data, error) in enumerate(opened(content or b"", form, most_bytes)):
+                        row = (hashlib.md5(f"{ident}/{j}".encode()).hexdigest(), ident, d + 1, name, None if data is None else len(data), data, error)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string()))], names=_MEMBER.names)
                 except Exception:  # noqa: BLE001  what does not open has no members; the decoder says why
-                    found = []
-                out += [(hashlib.md5(f"{ident}/{j}".encode()).hexdigest(), ident, n, len(x), x) for j, (n, x) in enumerate(found)]
-            names = ["file_id", "parent_file_id", "name", "length", "content"]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
-
-    return identified(files).select(F.col("file_id").cast("string"), "format", "content").mapInArrow(opened, schema)
-
-
-def carved(files: DataFrame, most: int = 100) -> DataFrame:
-    """Signatures of known files inside the bytes of others: ``file_id, format, start``, from 1 byte on."""
+                    continue
+
+    return identified(files.withColumn("depth", depth.cast("int"))).select(F.col("file_id").cast("string"), "format", "depth", "content").mapInArrow(run, _MEMBER)
+
+
+def _end(d: bytes, form: str, at: int) -> int | None:
+    """Where a file that begins at ``at`` ends, as its own structure says; null where it does not."""
+    import struct
+
+    if form == "png":
+        o = at + 8
+        while o + 12 <= len(d):
+            n, kind = struct.unpack_from(">I4s", d, o)
+            o += 12 + n
+            if kind == b"IEND":
+                return o if o <= len(d) else None
+    elif form == "jpeg":
+        end = d.find(b"\xff\xd9", at)
+        return end + 2 if end >= 0 else None
+    elif form == "pdf":
+        end = d.find(b"%%EOF", at)
+        return end + 5 if end >= 0 else None
+    elif form == "zip":
+        end = d.find(b"PK\5\6", at)
+        return end + 22 + struct.unpack_from("<H", d, end + 20)[0] if 0 <= end <= len(d) - 22 else None
+    elif form == "gif":
+        end = d.find(b"\0;", at)
+        return end + 2 if end >= 0 else None
+    return None
+
+
+def carved(files: DataFrame) -> DataFrame:
+    """Signatures of known files inside the bytes of others: ``file_id, format, start, length``, from 1 byte on; the length is null
+    where the file does not say where it ends. Every hit is a row."""
     import re
 
     # Signatures long enough to be looked for anywhere.
     marks = {"png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff", "gif": b"GIF8", "pdf": b"%PDF-", "zip": b"PK\x03\x04", "flac": b"fLaC", "ogg": b"OggS", "cfb": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "wasm": b"\0asm"}
+    any_mark = re.compile(b"|".join(b"(?P<%s>%s)" % (k.encode(), re.escape(v)) for k, v in marks.items()))
 
     def found(batches):
         for b in batches:
-            out = []
             for i in range(b.num_rows):
                 ident, content = b.column(0)[i].as_py(), b.column(1)[i].as_py() or b""
-                hits = sorted((m.start(), k) for k, v in marks.items() for m in re.finditer(re.escape(v), content) if m.start())
-                out += [(ident, k, s) for s, k in hits[:most]]
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["file_id", "format", "start"])
+                out = []
+                for m in any_mark.finditer(content, 1):
+                    end = _end(content, m.lastgroup, m.start())
+                    out.append((ident, m.lastgroup, m.start(), None if end is None else end - m.start()))
+                    if len(out) == BATCH:
+                        yield rows(out)
+                        out = []
+                yield rows(out)
+
+    def rows(out):
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["file_id", "format", "start", "length"])
+
+    return files.select(F.col("file_id").cast("string"), "content").mapInArrow(found, "file_id string, format string, start bigint, length bigint")
+
+
+@udtf(returnType="kind string, first_bit bigint, last_bit bigint, literals bigint, matches bigint, bytes bigint, checkpoint bigint, error string")
+class DeflateBlocks:
+    """``SELECT * FROM files, LATERAL deflate_blocks(content)``: how a bare deflate stream is put together."""
+
+    def eval(self, content: bytes):
+        from gleanery.sources.unpack import traced
+
+        blocks, error = traced(bytes(content or b""))
+        for b in blocks:
+            yield b["kind"], b["start"], b["end"], b["literals"], b["matches"], b["bytes"], b["checkpoint"], None
+        if error:
+            yield None, None, None, None, None, None, None, error
+
+
+@udtf(returnType="kind string, text string, node_id bigint")
+class Facts:
+    """``SELECT * FROM files, LATERAL facts(content, format)``."""
+
+    def eval(self, content: bytes, format_: str):
+        yield from decode(bytes(content) if content is not None else None, format_).facts
+
+
+@udtf(returnType="concern string, label string, start bigint, length bigint")
+class Problems:
+    """``SELECT * FROM files, LATERAL problems(content, format)``."""
+
+    def eval(self, content: bytes, format_: str):
+        yield from decode(bytes(content) if content is not None else None, format_).problems
+
+
+@udtf(returnType="name string, length bigint, content binary, error string")
+class Members:
+    """``SELECT * FROM files, LATERAL members(content, format)``."""
+
+    def eval(self, content: bytes, format_: str):
+        for name, data, error in opened(bytes(content or b""), format_, 1 << 26):
+            yield name, None if data is None else len(data), data, error
+
+
+@udtf(returnType="page bigint, kind string, ordinal bigint, l double, b double, r double, t double, text string")
+class PageMarks:
+    """``SELECT * FROM files, LATERAL page_marks(content)``: glyphs, fills and images of a PDF."""
+
+    def eval(self, content: bytes):
+        from gleanery.sources.pages import painted
+
+        for row in painted(bytes(content or b"")):
+            yield row[:8]
+
 
-    return files.select(F.col("file_id").cast("string"), "content").mapInArrow(found, "file_id string, format string, start bigint")
+def trace_summary(blocks: DataFrame, stream: str = "file_id") -> DataFrame:
+    """Blocks, literals, matches and bytes of each stream out of the rows of ``deflate_blocks``."""
+    return blocks.where("kind is not null").groupBy(stream).agg(F.count(F.lit(1)).alias("blocks"), *[F.sum(c).alias(c) for c in ("literals", "matches", "bytes")])
 
 
 def structure(found, name: str, format_: str, size: int) -> str:
@@ -163,6 +279,7 @@ def structures(files: DataFrame) -> DataFrame:
             rows = []
             for i in range(b.num_rows):
                 ident, name, form, content = (b.column(c)[i].as_py() for c in range(4))
+                form = refined(content or b"", form)
                 rows.append((ident, form, structure(decode(content, form), name, form, len(content or b""))))
             columns = list(zip(*rows)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["file_id", "format", "json"])

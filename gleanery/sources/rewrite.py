@@ -9,12 +9,12 @@ import zipfile
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.operators.sniff import identified
-from gleanery.sources.decode import decode
+from gleanery.shared import written
 
 Removed = list[tuple[str, int]]
 
@@ -30,7 +30,7 @@ def _png(d: bytes) -> tuple[bytes, Removed]:
         kind = d[at + 4 : at + 8]
         if at + 12 + n > len(d):
             raise Refused("damaged")
-        if kind in (b"tEXt", b"zTXt", b"iTXt", b"tIME", b"eXIf"):
+        if kind in (b"tEXt", b"zTXt", b"iTXt", b"tIME", b"eXIf", b"caBX"):
             gone.append((kind.decode(), 12 + n))
         else:
             out += d[at : at + 12 + n]
@@ -51,7 +51,7 @@ def _jpeg(d: bytes) -> tuple[bytes, Removed]:
         mark = d[at + 1]
         if at + n > len(d):
             raise Refused("damaged")
-        if mark in (0xE1, 0xED, 0xFE):
+        if mark in (0xE1, 0xEB, 0xED, 0xFE) or mark == 0xE2 and d[at + 4 : at + 8] == b"MPF\0":
             gone.append((f"marker {mark:02x}", n))
         else:
             out += d[at : at + n]
@@ -120,18 +120,40 @@ def _mp3(d: bytes) -> tuple[bytes, Removed]:
     return d, gone
 
 
+#: Bytes of an archive's members, unpacked, that are rewritten; and of one that is changed.
+MOST_ARCHIVE, MOST_MEMBER = 1 << 30, 1 << 26
+_BARE = re.compile(r"^docProps/(core|app|custom)\.xml$|^meta\.xml$")
+_GONE = re.compile(r"^docProps/thumbnail\.|^Thumbnails/|(^|/)\._[^/]+$|(^|/)\.DS_Store$|(^|/)Thumbs\.db$|printerSettings\d*\.bin$")
+
+
 def _zip(d: bytes) -> tuple[bytes, Removed]:
+    """Members copied as they are packed; property parts are emptied, what systems left behind goes."""
     out, gone = io.BytesIO(), []
     try:
         with zipfile.ZipFile(io.BytesIO(d)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
-            for e in a.infolist():
-                body = a.read(e)
-                if re.search(r"^docProps/(core|app|custom)\.xml$|^meta\.xml$", e.filename):
+            if any(e.flag_bits & 1 for e in a.infolist()):
+                raise Refused("encrypted")
+            if sum(e.file_size for e in a.infolist()) > MOST_ARCHIVE:
+                raise Refused("large")
+            kept = [e for e in a.infolist() if not _GONE.search(e.filename)]
+            gone += [(e.filename, e.compress_size) for e in a.infolist() if _GONE.search(e.filename)]
+            for e in kept:
+                info = zipfile.ZipInfo(e.filename, (1980, 1, 1, 0, 0, 0))
+                info.compress_type = zipfile.ZIP_DEFLATED if e.compress_type else zipfile.ZIP_STORED
+                if e.date_time != info.date_time:
+                    gone.append(("times", 4))
+                if _BARE.search(e.filename) and e.file_size <= MOST_MEMBER:
+                    body = a.read(e)
                     bare = re.sub(rb">[^<>]+</", b"></", body)
-                    gone.append((e.filename, len(body) - len(bare)))
-                    body = bare
-                b.writestr(zipfile.ZipInfo(e.filename, (1980, 1, 1, 0, 0, 0)), body, zipfile.ZIP_DEFLATED if e.compress_type else zipfile.ZIP_STORED)
-    except (zipfile.BadZipFile, zlib.error, RuntimeError) as e:
+                    gone += [(e.filename, len(body) - len(bare))] if len(bare) < len(body) else []
+                    b.writestr(info, bare)
+                    continue
+                with a.open(e) as source, b.open(info, "w") as to:  # a member at a time, a piece at a time
+                    while piece := source.read(1 << 20):
+                        to.write(piece)
+    except NotImplementedError as e:
+        raise Refused("unreadable") from e
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, EOFError) as e:
         raise Refused("damaged") from e
     return out.getvalue(), gone
 
@@ -148,6 +170,16 @@ def _rtf(d: bytes) -> tuple[bytes, Removed]:
 
 
 def _svg(d: bytes) -> tuple[bytes, Removed]:
+    if d[:2] == b"\x1f\x8b":
+        import gzip
+
+        from gleanery.sources.unpack import inflated
+
+        got = inflated(d, 31)
+        if got.error or not got.whole:
+            raise Refused("damaged" if got.error else "large")
+        bare, gone = _svg(got.data)
+        return gzip.compress(bare, mtime=0), gone
     gone: Removed = []
 
     def drop(m):
@@ -161,16 +193,32 @@ def _svg(d: bytes) -> tuple[bytes, Removed]:
 CLEANERS = {"png": _png, "jpeg": _jpeg, "gif": _gif, "wav": _riff, "webp": _riff, "flac": _flac, "mp3": _mp3, "zip": _zip, "rtf": _rtf, "svg": _svg}
 
 
+#: Why no copy was made, in words.
+REFUSALS = {
+    "nothing": "there is nothing in it that could be taken out", "locked": "it is encrypted", "encrypted": "it holds encrypted members", "large": "it is too large to be rewritten",
+    "damaged": "parts of it are damaged, and a copy could lose more", "unreadable": "parts of it are packed in a way that is not read", "unsupported": "there is no copy of this format",
+    "signed": "a copy would break its signature", "covered": "a box covers a picture that can't be changed here", "incomplete": "it was not read in full", "changes": "the copy would be taken for another format",
+}
+
+
 def clean(content: bytes, format_: str) -> tuple[bytes | None, Removed, str | None]:
-    """The clean copy, what was removed (label, bytes), and why there is none."""
-    if format_ not in CLEANERS:
+    """The clean copy, what was removed (label, bytes), and why there is none (a key of ``REFUSALS``)."""
+    from gleanery.operators.sniff import sniffed
+    from gleanery.sources.cleaners import MORE
+
+    run = CLEANERS.get(format_) or MORE.get(format_)
+    if run is None:
         return None, [], "unsupported"
     try:
-        out, gone = CLEANERS[format_](content)
+        out, gone = run(content)
     except Refused as e:
         return None, [], str(e)
     except (IndexError, struct.error, ValueError):
         return None, [], "damaged"
+    if not gone:
+        return None, [], "nothing"
+    if format_ != "ogg" and sniffed(out) != sniffed(content):
+        return None, [], "changes"
     merged: dict[str, int] = {}
     for label, n in gone:
         merged[label] = merged.get(label, 0) + n
@@ -214,40 +262,68 @@ def repair(content: bytes, format_: str) -> tuple[bytes, list[str]]:
 
 
 _COPY = T.StructType([
-    T.StructField("file_id", T.StringType()), T.StructField("format", T.StringType()), T.StructField("copy", T.BinaryType()), T.StructField("error", T.StringType()),
+    T.StructField("file_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("format", T.StringType()), T.StructField("copy", T.BinaryType()), T.StructField("error", T.StringType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bytes", T.LongType())]))),
-    T.StructField("source_kinds", T.ArrayType(T.StringType())), T.StructField("left_kinds", T.ArrayType(T.StringType())), T.StructField("complete", T.BooleanType()),
+])
+_ARROW = pa.schema([
+    ("file_id", pa.string()), ("name", pa.string()), ("format", pa.string()), ("copy", pa.binary()), ("error", pa.string()),
+    ("removed", pa.list_(pa.struct([("label", pa.string()), ("bytes", pa.int64())]))),
 ])
 
 
 def clean_copies(files: DataFrame) -> DataFrame:
-    """Each file's clean copy, read again: kinds before and after, ``complete`` if both were read in full."""
+    """Each file's clean copy, or the reason why there is none, and what was taken out."""
 
     def made(batches):
         for b in batches:
-            out = []
-            for i in range(b.num_rows):
-                ident, form, content = (b.column(c)[i].as_py() for c in range(3))
-                before = decode(content, form)
+            for i in range(b.num_rows):  # a row at a time: copies are as large as files
+                ident, name, form, content = (b.column(c)[i].as_py() for c in range(4))
                 copy, gone, error = clean(content or b"", form)
-                after = decode(copy, form) if copy is not None else before
-                out.append({
-                    "file_id": ident, "format": form, "copy": copy, "error": error, "removed": [{"label": x, "bytes": n} for x, n in gone],
-                    "source_kinds": sorted({k for k, _, _ in before.facts}), "left_kinds": sorted({k for k, _, _ in after.facts}), "complete": before.complete and after.complete,
-                })
-            kind = pa.schema([
-                ("file_id", pa.string()), ("format", pa.string()), ("copy", pa.binary()), ("error", pa.string()),
-                ("removed", pa.list_(pa.struct([("label", pa.string()), ("bytes", pa.int64())]))), ("source_kinds", pa.list_(pa.string())), ("left_kinds", pa.list_(pa.string())), ("complete", pa.bool_()),
-            ])
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
-
-    return identified(files).select(F.col("file_id").cast("string"), "format", "content").mapInArrow(made, _COPY)
-
-
-def receipts(copies: DataFrame) -> DataFrame:
-    """What can be kept of a copy without its values: its hash, sizes and kinds."""
-    return copies.select(
+                row = {"file_id": ident, "name": name, "format": form, "copy": copy, "error": error, "removed": [{"label": x, "bytes": n} for x, n in gone]}
+                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+    return identified(files).select(F.col("file_id").cast("string"), "name", "format", "content").mapInArrow(made, _COPY)
+
+
+def _contract_format(format_: str) -> Column:
+    return F.when(F.col(format_) == "cfb", "office97").otherwise(F.col(format_))
+
+
+def verified_copies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clean copies that are read again and compared with their files, finding by finding.
+
+    Returns the comparison (file_id, kind, status, reason, unexpected) and the receipts (file_id, format, copy_sha256, copy_bytes,
+    removed_bytes, removed_kinds, present_kinds, unchecked, unexpected, error, complete). Copies are written once; contents go through no shuffle.
+    """
+    from gleanery.functions.dims import removal_contract
+    from gleanery.operators.verify import compare_copies
+    from gleanery.sources.engine import inspect, tables
+
+    spark = files.sparkSession
+    copies = written(clean_copies(files), "copies")
+    before = tables(written(inspect(files).where("row in ('file', 'fact')"), "before"))
+    there = copies.where("copy is not null").select("file_id", "name", F.col("copy").alias("content"))
+    after = tables(written(inspect(there).where("row in ('file', 'fact')"), "after"))
+    made = there.select("file_id")
+    finding = lambda t: t["facts"].join(made, "file_id", "left_semi").select("file_id", "ordinal", "kind", F.lit("file").alias("scope"), F.col("text").alias("value"))
+    side = lambda t, p: t["files"].select("file_id", _contract_format("format").alias(f"{p}_format"), F.col("metadata_complete").alias(f"{p}_complete"))
+    snapshots = written(side(before, "source").join(side(after, "copy"), "file_id"), "snapshots")
+    items = written(compare_copies(finding(before), finding(after), snapshots, removal_contract(spark)), "items")
+    of = lambda s: F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("kind"))))
+    totals = items.groupBy("file_id").agg(
+        of("removed").alias("removed_kinds"), of("present").alias("present_kinds"), F.count_if(F.col("status") == "unchecked").alias("unchecked"), F.count_if("unexpected").alias("unexpected")
+    )
+    none = F.array().cast("array<string>")
+    receipts_ = copies.join(totals, "file_id", "left").join(snapshots, "file_id", "left").select(
         "file_id", "format", F.sha2("copy", 256).alias("copy_sha256"), F.octet_length("copy").cast("long").alias("copy_bytes"),
         F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["bytes"]), F.lit(0).cast("long")).alias("removed_bytes"),
-        F.array_except("source_kinds", "left_kinds").alias("removed_kinds"), F.array_intersect("source_kinds", "left_kinds").alias("present_kinds"), "error", "complete",
+        F.coalesce("removed_kinds", none).alias("removed_kinds"), F.coalesce("present_kinds", none).alias("present_kinds"), F.coalesce("unchecked", F.lit(0)).alias("unchecked"),
+        F.coalesce("unexpected", F.lit(0)).alias("unexpected"), "error", F.coalesce(F.col("source_complete") & F.col("copy_complete"), F.lit(False)).alias("complete"),
     )
+    return items, receipts_
+
+
+def related_copies(files: DataFrame, relations: DataFrame) -> DataFrame:
+    """Copies of only those files that a relation (``indexes`` of file ids) puts together with others."""
+    ids = relations.select(F.explode("indexes").alias("file_id")).distinct()
+    return clean_copies(files.join(ids, "file_id", "left_semi"))

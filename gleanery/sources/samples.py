@@ -103,10 +103,101 @@ def svg() -> bytes:
     return b'<svg xmlns="http://www.w3.org/2000/svg" inkscape:export-filename="/home/vera/a.png"><title>Map</title><metadata>x</metadata></svg>'
 
 
+def heif() -> bytes:
+    """A picture container with an Exif item in its ``mdat``."""
+    box = lambda n, b: struct.pack(">I", len(b) + 8) + n + b
+    full = lambda n, b, v=0: box(n, bytes([v, 0, 0, 0]) + b)
+    data = b"\0\0\0\0" + exif()
+    head = box(b"ftyp", b"heic\0\0\0\0mif1heic")
+    info = full(b"iinf", b"\0\1" + full(b"infe", b"\0\1\0\0Exif\0", 2))
+    meta = lambda at: full(b"meta", full(b"hdlr", bytes(20)) + info + full(b"iloc", b"\x44\0\0\1" + struct.pack(">HHHII", 1, 0, 1, at, len(data))))
+    return head + meta(len(head) + len(meta(0)) + 8) + box(b"mdat", data)
+
+
+def ogg() -> bytes:
+    """Two pages: an identification and comments."""
+    from gleanery.sources.decode import _ogg_sum
+
+    tags = [b"TITLE=Wind", b"ARTIST=Dee"]
+    comments = b"\x03vorbis" + struct.pack("<I", 4) + b"lib1" + struct.pack("<I", len(tags)) + b"".join(struct.pack("<I", len(t)) + t for t in tags) + b"\1"
+    out = b""
+    for i, packet in enumerate((b"\x01vorbis" + bytes(23), comments)):
+        page = bytearray(b"OggS\0" + bytes([2 if i == 0 else 4]) + bytes(8) + struct.pack("<III", 7, i, 0) + bytes([1, len(packet)]) + packet)
+        page[22:26] = struct.pack("<I", _ogg_sum(page))
+        out += bytes(page)
+    return out
+
+
+def cfb() -> bytes:
+    """A compound file with one property set, in sectors of 512 bytes."""
+    said = {4: b"Gita\0", 2: b"Memo\0"}
+    body, rows = b"", []
+    for key, text in said.items():
+        rows.append((key, 8 + 8 * len(said) + len(body)))
+        body += struct.pack("<II", 30, len(text)) + text + bytes(-len(text) % 4)
+    part = struct.pack("<II", 8 + 8 * len(said) + len(body), len(said)) + b"".join(struct.pack("<II", *r) for r in rows) + body
+    stream = (b"\xfe\xff\0\0" + bytes(20) + struct.pack("<I", 1) + bytes(16) + struct.pack("<I", 48) + part).ljust(4096, b"\0")
+
+    def entry(name: str, kind: int, child: int, start: int, size: int) -> bytes:
+        n = name.encode("utf-16-le") + b"\0\0"
+        return n.ljust(64, b"\0") + struct.pack("<HBBIII", len(n), kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child) + bytes(36) + struct.pack("<III", start, size, 0)
+
+    directory = (entry("Root Entry", 5, 1, 0xFFFFFFFE, 0) + entry("\x05SummaryInformation", 2, 0xFFFFFFFF, 2, len(stream))).ljust(512, b"\0")
+    fat = struct.pack("<12I", 0xFFFFFFFD, 0xFFFFFFFE, *range(3, 10), 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFF).ljust(512, b"\xff")
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6)
+    head += struct.pack("<IIIIIIIIII", 0, 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, 0) + b"\xff" * 432
+    return head[:512] + fat + directory + stream
+
+
+def xlsx() -> bytes:
+    """A sheet that is hidden, a link out, a comment, a custom property."""
+    return zipped(**{
+        "[Content_Types].xml": b"<Types/>", "xl/workbook.xml": b'<workbook><sheets><sheet name="Open"/><sheet name="Secret &amp; Co" state="veryHidden"/></sheets></workbook>',
+        "xl/worksheets/sheet1.xml": b'<worksheet><row r="1" hidden="1"/></worksheet>', "xl/comments1.xml": b"<comments><authors><author>Ida</author></authors></comments>",
+        "xl/_rels/workbook.xml.rels": b'<Relationships><Relationship Type="x/hyperlink" Target="https://Out.example/a" TargetMode="External"/></Relationships>',
+        "docProps/custom.xml": b'<Properties><property name="Client"><vt:lpwstr>Acme</vt:lpwstr></property></Properties>',
+    })
+
+
+def odt() -> bytes:
+    change = b"<text:tracked-changes><text:deletion><office:change-info><dc:creator>Jo</dc:creator></office:change-info><text:p>old words</text:p></text:deletion></text:tracked-changes>"
+    return zipped(**{"mimetype": b"application/vnd.oasis.opendocument.text", "content.xml": b"<office:text>" + change + b"</office:text>", "meta.xml": b"<meta:initial-creator>Jo</meta:initial-creator>"})
+
+
+def icc(text: bytes = b"Copy by Kim") -> bytes:
+    tag = b"text\0\0\0\0" + text + b"\0"
+    out = bytearray(132) + struct.pack(">4sII", b"cprt", 144, len(tag)) + tag
+    out[:4], out[12:20], out[36:40], out[128:132] = struct.pack(">I", len(out)), b"mntrRGB ", b"acsp", struct.pack(">I", 1)
+    return bytes(out)
+
+
+def rich_jpeg() -> bytes:
+    """XMP, caption records and a colour profile in segments of their own."""
+    seg = lambda m, b: b"\xff" + bytes([m]) + struct.pack(">H", len(b) + 2) + b
+    xmp = b"http://ns.adobe.com/xap/1.0/\0" + b'<x:xmpmeta><rdf:Description xmp:CreatorTool="Tool 9"><dc:creator><rdf:Seq><rdf:li>Ana</rdf:li></rdf:Seq></dc:creator></rdf:Description></x:xmpmeta>'
+    record = b"\x1c\2\x74" + struct.pack(">H", 3) + b"(c)"
+    iptc = b"Photoshop 3.0\0" + b"8BIM" + struct.pack(">HBBI", 0x0404, 0, 0, len(record)) + record + b"\0" * (len(record) & 1)
+    return b"\xff\xd8" + seg(0xE1, xmp) + seg(0xED, iptc) + seg(0xE2, b"ICC_PROFILE\0\1\1" + icc()) + seg(0xDA, b"\1\1\0\0\x3f\0") + b"\x55\xff\xd9"
+
+
+def interlaced_png() -> bytes:
+    """Nine by nine pixels of one byte in seven bands, a gamma and a colour profile."""
+    sizes = [(2, 2), (1, 2), (3, 1), (2, 3), (5, 2), (4, 5), (9, 4)]
+    raw = b"".join((b"\0" + bytes(w)) * h for w, h in sizes)
+    head = _chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 9, 8, 0, 0, 0, 1)) + _chunk(b"gAMA", struct.pack(">I", 45_455)) + _chunk(b"iCCP", b"p\0\0" + zlib.compress(icc()))
+    return b"\x89PNG\r\n\x1a\n" + head + _chunk(b"IDAT", zlib.compress(raw)) + _chunk(b"IEND", b"")
+
+
+def svgz() -> bytes:
+    import gzip
+
+    return gzip.compress(svg(), mtime=0)
+
+
 SAMPLES = {
     "plain.png": png, "noted.png": lambda: png(_chunk(b"tEXt", b"Author\0Olena")), "cut.png": lambda: png()[:-8], "tail.png": lambda: png() + b"secret", "photo.jpg": jpeg,
     "cut.jpg": lambda: jpeg(b""), "a.gif": gif, "a.wav": wav, "a.docx": docx, "cut.docx": lambda: docx()[:-30], "a.flac": flac, "a.mp3": mp3, "a.mp4": mp4, "a.wasm": wasm, "a.pdf": pdf,
-    "a.rtf": rtf, "a.eml": eml, "a.svg": svg, "a.tif": exif, "bin": lambda: b"x /Users/olena/lib/ y me@site.org z", "empty": lambda: b"",
+    "a.rtf": rtf, "a.eml": eml, "a.svg": svg, "a.svgz": svgz, "a.tif": exif, "a.heic": heif, "a.ogg": ogg, "a.doc": cfb, "a.xlsx": xlsx, "a.odt": odt, "rich.jpg": rich_jpeg, "bands.png": interlaced_png, "bin": lambda: b"x /Users/olena/lib/ y me@site.org z", "empty": lambda: b"",
 }
 
 
