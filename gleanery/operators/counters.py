@@ -38,7 +38,7 @@ def sparkline(rows: DataFrame, ts: str, days: int = 30, levels: int = 8) -> Data
     n = rows.groupBy(F.to_date(F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     last = n.agg(F.max("day").alias("last"))
     series = last.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("day"))
-    full = series.join(F.broadcast(n), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    full = series.join(n, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
     top = F.max("n").over(W.partitionBy(F.lit(0)))  # over at most ``days`` rows
     return full.select("day", "n", F.floor(levels * F.col("n") / F.greatest(top, F.lit(1)) + 0.5).cast("int").alias("level"))
 

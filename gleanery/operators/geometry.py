@@ -152,10 +152,13 @@ def glob_pattern(glob: str) -> str:
     return "(?s)^" + ".*".join(re.escape(x) for x in glob.split("*")) + "$"
 
 
-def first_label_match(rows: DataFrame, patterns: DataFrame, label: str) -> DataFrame:
-    """Rows with the first of the ordered glob ``patterns`` (position, pattern, doc) that their label matches."""
-    like = F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.+?^${}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))
-    labels = rows.select(label).distinct()
-    met = labels.join(F.broadcast(patterns.withColumn("like", like)), F.expr(f"`{label}` rlike like"))
-    best = met.groupBy(label).agg(F.min_by("doc", "position").alias("doc"))
-    return rows.join(best, label, "left")
+def first_label_match(rows: DataFrame, patterns: DataFrame, label: str, most: int = 2_000) -> DataFrame:
+    """Rows with the first of the ordered glob ``patterns`` (position, pattern, doc) that their label matches. The patterns are a small
+    table and become one ordered CASE; ``most`` or more of them are an error."""
+    table = patterns.orderBy("position").limit(most).collect()
+    if len(table) >= most:
+        raise ValueError(f"a table of patterns has fewer than {most} rows")
+    doc = F.lit(None).cast("string")
+    for p in reversed(table):
+        doc = F.when(F.col(label).rlike(glob_pattern(p["pattern"])), F.lit(p["doc"])).otherwise(doc)
+    return rows.withColumn("doc", doc)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.components import components
 from gleanery.shared import written
 
 # Serials that say nothing; the earth's radius in metres.
@@ -49,21 +50,25 @@ def near_pairs(points: DataFrame, within: float) -> DataFrame:
     return a.join(b, ["cx", "cy", "cz"]).where("a < b").select("a", "b", far.alias("distance")).where(F.col("distance") <= within)
 
 
+def serial_members(signals: DataFrame, *, most_bytes: int = 512) -> DataFrame:
+    """``serial``, ``index``, ``n`` of the files that share a serial with others: a row a file, so a serial that very many carry is no
+    row of its own size."""
+    s = F.trim("serial")
+    said = signals.where(s.isNotNull() & ~F.lower(s).isin(*NO_SERIAL) & (F.octet_length(s) <= most_bytes)).select(s.alias("serial"), "index")
+    shared = said.groupBy(F.col("serial").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return said.join(shared, F.col("serial") == F.col("of")).drop("of")
+
+
 def greedy_clusters(points: DataFrame, within: float) -> DataFrame:
     """``index``, ``first``: in order of index, a point joins the lowest group whose first point is within
-    reach, else begins one. The greedy pass runs inside each connected component of near pairs."""
-    pairs = near_pairs(points, within).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = points.select(F.col("index").alias("a"), F.col("index").alias("c"))
-    while True:
-        lower = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        new = labels.join(lower, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("c") > F.coalesce("m", "c")).alias("moved"))
-        new = written(new, "clusters")
-        if not new.where("moved").limit(1).count():
-            break
-        labels = new.select("a", "c")
-    near = both.where("b < a").groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
-    rows = labels.join(near, "a", "left")
+    reach, else begins one. The greedy pass runs inside each connected component of near pairs, which are found by contraction, in a
+    number of rounds that grows with the logarithm of a component."""
+    pairs = written(near_pairs(points, within).select("a", "b"), "near")
+    at = components(pairs)
+    labels = points.select(F.col("index").alias("a")).join(at.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left").withColumn("c", F.coalesce("c", "a"))
+    near = pairs.groupBy(F.col("b").alias("a")).agg(F.array_sort(F.collect_list(F.col("a"))).alias("near"))
+    alone = labels.where("a = c").join(at.select(F.col("id").alias("a")), "a", "left_anti").select(F.col("a").alias("index"), F.col("a").alias("first"))
+    rows = labels.join(at.select(F.col("id").alias("a")), "a", "left_semi").join(near, "a", "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         firsts: set[int] = set()
@@ -75,7 +80,7 @@ def greedy_clusters(points: DataFrame, within: float) -> DataFrame:
             out.append((int(r.a), int(r.a) if mine is None else mine))
         return pd.DataFrame(out, columns=["index", "first"])
 
-    return rows.groupBy("c").applyInPandas(greedy, "index long, first long")
+    return rows.groupBy("c").applyInPandas(greedy, "index long, first long").unionByName(alone)
 
 
 def parsed_date(text: Column) -> list[Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Tags that fail a check unless others are asked for.
 FAIL_ON = ("reveals", "hidden", "damage", "incomplete")
@@ -97,7 +98,7 @@ def top_unread(rows: DataFrame, ext: Column, most: int = 5) -> DataFrame:
 
 def category_list(facts: DataFrame, kinds: DataFrame) -> DataFrame:
     """The kinds of each file in catalogue order, as one line."""
-    known = facts.select("file_id", "kind").distinct().join(F.broadcast(kinds), "kind")
+    known = facts.select("file_id", "kind").distinct().join(kinds, "kind")
     sorted_ = F.array_sort(F.collect_list(F.struct("position", "kind")))
     return known.groupBy("file_id").agg(F.array_join(F.transform(sorted_, lambda x: x["kind"]), ", ").alias("categories"))
 
@@ -122,14 +123,15 @@ def planned_removals(facts: DataFrame, files: DataFrame, contract: DataFrame) ->
     """Findings whose removal a clean copy of the file could prove."""
     stable = facts.where(F.trim("text") != "").select("file_id", "kind").distinct()
     whole = files.where("complete").select("file_id", "format")
-    return stable.join(whole, "file_id").join(F.broadcast(contract.where("scope = 'file'").select("format", "kind")), ["format", "kind"], "left_semi")
+    return stable.join(whole, "file_id").join(contract.where("scope = 'file'").select("format", "kind"), ["format", "kind"], "left_semi")
 
 
 def differing_fields(fields: DataFrame, by: list[str], label: str, value: str, most: int = 20) -> DataFrame:
-    """Labels that stand in one group with two values or more, with up to ``most`` of the values."""
-    n = fields.where(F.col(value).isNotNull()).groupBy(*by, label).agg(
-        F.count_distinct(value).alias("n_values"), F.count(F.lit(1)).alias("n")
-    )
+    """Labels that stand in one group with two values or more: how many values and rows, and the first ``most`` values in order."""
+    once = fields.where(F.col(value).isNotNull()).groupBy(*by, label, value).agg(F.count(F.lit(1)).alias("k"))
+    rank = F.row_number().over(W.partitionBy(*by, label).orderBy(value))
+    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.col(value))))
+    n = once.withColumn("rank", rank).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n_values"), F.sum("k").alias("n"), first.alias("values"))
     return n.where("n_values > 1")
 
 
@@ -144,19 +146,24 @@ def ndjson(summary: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def sarif(spark, problems: DataFrame, most: int = 10_000) -> str:
-    """One SARIF 2.1.0 log of at most ``most`` problems, a driver-side document by its nature."""
+    """One SARIF 2.1.0 log, a driver-side document by its nature. More than ``most`` problems do not fit one: the log then says how many
+    it leaves out (``sinks.sarif_parts`` has them all)."""
     import json
 
     rows = problems.orderBy("file_id", "label").limit(most).collect()
+    left = problems.count() - len(rows) if len(rows) == most else 0
     rules = sorted({r["label"] for r in rows})
     level = {"damage": "error", "hidden": "warning"}
-    return json.dumps({
-        "version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json",
-        "runs": [{
-            "tool": {"driver": {"name": "gleanery", "rules": [{"id": r} for r in rules]}},
-            "results": [{
+    run = {
+        "tool": {"driver": {"name": "gleanery", "rules": [{"id": r} for r in rules]}},
+        "results": [
+            {
                 "ruleId": r["label"], "level": level.get(r["concern"], "note"), "message": {"text": r["label"]},
                 "locations": [{"physicalLocation": {"artifactLocation": {"uri": str(r["file_id"])}}}],
-            } for r in rows],
-        }],
-    })
+            }
+            for r in rows
+        ],
+    }
+    if left:
+        run["invocations"] = [{"executionSuccessful": False, "toolExecutionNotifications": [{"message": {"text": f"{left} more problems are not in this log"}}]}]
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]})

@@ -56,7 +56,7 @@ def compare_copies(source: DataFrame, copy: DataFrame, snapshots: DataFrame, con
     s3, c3 = s3a.unionByName(vague(s2)), c3a.unionByName(vague(c2))
     unknown, s4, c4 = matched(_numbered(s3, base), _numbered(c3, base), base)
     out = out.unionByName(row(unknown, "unchecked", "no_stable_value"))
-    covered = F.broadcast(contract.select(F.col("format").alias("source_format"), "kind", "scope", F.lit(True).alias("covered")))
+    covered = contract.select(F.col("format").alias("source_format"), "kind", "scope", F.lit(True).alias("covered"))
     rest = s4.join(snapshots, "file_id").join(covered, ["source_format", "kind", "scope"], "left")
     reason = (
         F.when(~F.col("same"), "format_changed").when(~_stable(F.col("value")), "no_stable_value")

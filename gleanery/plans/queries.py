@@ -373,9 +373,11 @@ def planned_removals(spark, sf_dir):
     return reports.planned_removals(_facts(spark, sf_dir), files, removal_contract(spark))
 
 
-@query("""SELECT conv_id, role, count(DISTINCT text) AS n_values, count(text) AS n FROM conversations GROUP BY 1, 2 HAVING count(DISTINCT text) > 1""")
+@query("""SELECT conv_id, role, count(DISTINCT text) AS n_values, count(text) AS n, md5(array_to_string(list_sort(list(DISTINCT text))[1:20], '|')) AS values_md5
+FROM conversations GROUP BY 1, 2 HAVING count(DISTINCT text) > 1""")
 def differing_fields(spark, sf_dir):
-    return reports.differing_fields(table(spark, sf_dir, "conversations"), ["conv_id"], "role", "text")
+    got = reports.differing_fields(table(spark, sf_dir, "conversations"), ["conv_id"], "role", "text")
+    return got.select("conv_id", "role", "n_values", "n", F.md5(F.encode(F.array_join("values", "|"), "UTF-8")).alias("values_md5"))
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS hop FROM conversations")
@@ -409,31 +411,44 @@ def report_ndjson(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Findings of documents by source, and of a copy from which addresses are gone and e-mails are masked."""
+    """Findings of documents by source, and of a copy: some e-mails are gone, some masked, some there twice, all addresses are gone."""
     from pyspark.sql import Window as W
 
     src = table(spark, sf_dir, "documents").select("doc_id", "source")
     facts = _facts(spark, sf_dir).join(src, F.col("file_id") == F.col("doc_id"))
-    order = F.row_number().over(W.partitionBy("source").orderBy("doc_id", "kind", "text"))
-    all_ = facts.select(F.col("source").alias("file_id"), order.alias("ordinal"), "kind", F.lit("file").alias("scope"), F.col("text").alias("value"))
-    copy = all_.where("kind = 'emails'").withColumn("value", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("x"), "value")).otherwise(F.col("value")))
-    snaps = src.select(F.col("source").alias("file_id")).distinct().select(
+    order = F.col("doc_id") * 1_000_000 + F.row_number().over(W.partitionBy("doc_id").orderBy("kind", "text"))
+    all_ = facts.select(F.coalesce("source", F.lit("none")).alias("file_id"), order.alias("ordinal"), "kind", F.lit("file").alias("scope"), F.col("text").alias("value"), "doc_id")
+    kept = all_.where("kind = 'emails' and doc_id % 3 <> 0")
+    copy = kept.withColumn("value", F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("x"), "value")).otherwise(F.col("value")))
+    twice = all_.where("kind = 'emails' and doc_id % 3 = 0 and doc_id % 2 = 0").withColumn("ordinal", -F.col("ordinal")).withColumn("kind", F.lit("account"))
+    snaps = src.select(F.coalesce("source", F.lit("none")).alias("file_id")).distinct().select(
         "file_id", F.lit("text").alias("source_format"), F.lit("text").alias("copy_format"), F.lit(True).alias("source_complete"), F.lit(True).alias("copy_complete")
     )
-    return all_, copy, snaps
+    return all_.drop("doc_id"), copy.unionByName(twice).drop("doc_id"), snaps
 
 
-@query()
+#: By file, kind and value: how often it stands on either side; from the counts alone follows what becomes of each finding.
+_COMPARED = f"""WITH {_FACTS}, s AS (SELECT doc_id, coalesce(source, 'none') AS file_id, kind, facts.text AS v FROM facts JOIN documents d ON d.doc_id = facts.file_id),
+c AS (SELECT file_id, kind, CASE WHEN doc_id % 3 = 2 THEN 'x' || v ELSE v END AS v FROM s WHERE kind = 'emails' AND doc_id % 3 <> 0
+  UNION ALL SELECT file_id, 'account', v FROM s WHERE kind = 'emails' AND doc_id % 6 = 0),
+n AS (SELECT file_id, kind, v, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM (SELECT file_id, kind, v, 1 AS a, 0 AS b FROM s UNION ALL SELECT file_id, kind, v, 0, 1 FROM c) GROUP BY 1, 2, 3),
+k AS (SELECT file_id, kind, sum(least(a, b))::BIGINT AS same, sum(a - least(a, b))::BIGINT AS a, sum(b - least(a, b))::BIGINT AS b FROM n GROUP BY 1, 2),
+counted AS (SELECT file_id, kind, same, least(a, b) AS changed, a - least(a, b) AS gone, b - least(a, b) AS extra FROM k),
+items AS (SELECT file_id, kind, 'present' AS status, 'still_present' AS reason, false AS unexpected, unnest(range(same)) AS i FROM counted
+  UNION ALL SELECT file_id, kind, 'present', 'value_changed_same_kind', false, unnest(range(changed)) FROM counted
+  UNION ALL SELECT file_id, kind, CASE WHEN kind IN ('account', 'emails', 'addresses') THEN 'removed' ELSE 'unchecked' END,
+    CASE WHEN kind IN ('account', 'emails', 'addresses') THEN 'removed' ELSE 'coverage_incomplete' END, false, unnest(range(gone)) FROM counted
+  UNION ALL SELECT file_id, kind, 'present', 'unexpected_output', true, unnest(range(extra)) FROM counted
+  UNION ALL SELECT DISTINCT coalesce(source, 'none'), 'file', 'unchecked', 'no_comparable_findings', false, 0 FROM documents WHERE coalesce(source, 'none') NOT IN (SELECT file_id FROM n))"""
+
+
+@query(f"{_COMPARED} SELECT file_id, kind, status, reason, unexpected FROM items")
 def verify_compare(spark, sf_dir):
     return verify.compare_copies(*_snapshots(spark, sf_dir), removal_contract(spark))
 
 
-@query(f"""WITH {_FACTS}, s AS (
-  SELECT source AS file_id, kind, facts.text, row_number() OVER (PARTITION BY source ORDER BY doc_id, kind, facts.text) AS ordinal FROM facts JOIN documents d ON d.doc_id = facts.file_id
-), e AS (SELECT *, count(*) FILTER (WHERE ordinal % 2 = 1) OVER (PARTITION BY file_id, kind, text) AS same FROM s WHERE kind = 'emails')
-SELECT kind, 0 AS removed, count(*) AS present, 0 AS unchecked, 0 AS unexpected FROM e GROUP BY kind
-UNION ALL SELECT 'sentfrom', 0, 0, count(*), 0 FROM s WHERE kind = 'sentfrom' HAVING count(*) > 0
-UNION ALL SELECT 'file', 0, 0, count(*), 0 FROM (SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT file_id FROM s)) HAVING count(*) > 0""")
+@query(f"""{_COMPARED} SELECT kind, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'present') AS present,
+  count(*) FILTER (WHERE status = 'unchecked') AS unchecked, count(*) FILTER (WHERE unexpected) AS unexpected FROM items GROUP BY kind""")
 def verify_totals(spark, sf_dir):
     return verify.comparison_totals(verify_compare(spark, sf_dir))
 
@@ -491,10 +506,10 @@ def repeated_serials(spark, sf_dir):
     return relate.repeated_serials(s).select("serial", F.array_join(F.transform("indexes", lambda x: x.cast("string")), ",").alias("indexes"))
 
 
-@query("SELECT doc_id AS index FROM documents WHERE md5(coalesce(text, '')) IN (SELECT md5(coalesce(text, '')) FROM documents GROUP BY 1 HAVING count(*) > 1)")
+@query("SELECT doc_id AS index, n FROM (SELECT doc_id, count(*) OVER (PARTITION BY md5(coalesce(text, ''))) AS n FROM documents) WHERE n > 1")
 def related_ids(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("serial"), F.col("doc_id").alias("index"))
-    return relate.repeated_serials(s).select(F.explode("indexes").alias("index")).distinct()
+    return relate.serial_members(s).select("index", "n")
 
 
 def _points(spark, sf_dir) -> DataFrame:
@@ -541,7 +556,7 @@ marked AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY file_id ORDER BY pos
 islands AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY pos) AS island FROM marked)
 SELECT file_id, min(pos) AS start, max(till) AS "end", any_value(role) AS role FROM islands GROUP BY file_id, island""")
 def composition_sweep(spark, sf_dir):
-    return ranges.composition(_ranges(spark, sf_dir))
+    return ranges.composition(_ranges(spark, sf_dir)).drop("node_id")
 
 
 @query(f"""WITH {_RANGES}, m AS (SELECT *, max(end_) OVER (PARTITION BY file_id ORDER BY start, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
@@ -551,20 +566,20 @@ def range_gaps_overlaps(spark, sf_dir):
 
 
 def _contents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
-_BYTES = """b AS (SELECT item_id AS file_id, n, unnest(range(0, strlen(text))) AS pos, greatest(least(8, strlen(text) // 256), 1) AS bins, strlen(text) AS size,
-  hex(encode(text)) AS h FROM (SELECT *, 1 AS n FROM benchmark)), v AS (SELECT file_id, pos // ceil(size / bins)::BIGINT AS "window", ('0x' || h[2*pos+1:2*pos+2])::INTEGER AS byte FROM b)"""
+_BYTES = """b AS (SELECT doc_id::VARCHAR AS file_id, unnest(range(0, strlen(text))) AS pos, greatest(least(8, strlen(text) // 256), 1) AS bins, strlen(text) AS size,
+  hex(encode(text)) AS h FROM documents WHERE text <> ''), v AS (SELECT file_id, pos // ceil(size / bins)::BIGINT AS "window", ('0x' || h[2*pos+1:2*pos+2])::INTEGER AS byte FROM b)"""
 
 
 @query(f"""WITH {_BYTES}, c AS (SELECT file_id, "window", byte, count(*) AS n FROM v GROUP BY ALL)
-SELECT file_id, "window", sum(n)::BIGINT AS bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1, 2""")
+SELECT file_id, "window", sum(n)::BIGINT AS bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS entropy FROM c GROUP BY 1, 2""")
 def entropy_windows(spark, sf_dir):
     return ranges.entropy_windows(_contents(spark, sf_dir))
 
 
-@query(f"WITH {_BYTES} SELECT byte, count(*) AS n FROM v GROUP BY byte")
+@query(f"WITH {_BYTES} SELECT byte::BIGINT AS byte, count(*) AS n FROM v GROUP BY byte")
 def byte_histogram(spark, sf_dir):
     return ranges.byte_histogram(_contents(spark, sf_dir))
 
@@ -574,11 +589,21 @@ def role_totals(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH t AS (SELECT item_id, lower(text) AS t FROM benchmark), p AS (SELECT item_id, t, unnest(range(0, length(t))) AS pos FROM t)
-SELECT item_id, pos FROM p WHERE t[pos + 1:pos + 4] = 'thth'""")
+_FOUND = """WITH t AS (SELECT doc_id::VARCHAR AS file_id, hex(encode(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS h FROM documents),
+p AS (SELECT file_id, h, unnest(range(0, strlen(h) // 2)) AS pos FROM t) SELECT file_id, pos AS "at" FROM p WHERE h[2 * pos + 1:2 * pos + {n}] = '{hex}'"""
+
+
+@query(_FOUND.format(n=8, hex="74687468"))
 def byte_search_overlapping(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.explode(ranges.occurrences(F.col("text"), "THth")).alias("pos"))
+    return ranges.occurrences(_contents(spark, sf_dir), "THth")
+
+
+@query("""WITH t AS (SELECT doc_id::VARCHAR AS file_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT file_id, h, unnest(range(0, strlen(h) // 2)) AS pos FROM t)
+SELECT file_id, pos AS "at" FROM p WHERE h[2 * pos + 1:2 * pos + 4] = '2E0A' UNION ALL SELECT file_id, 1000 FROM t WHERE strlen(h) // 2 > 1000""")
+def byte_search_hex(spark, sf_dir):
+    """Where the bytes ``2E 0A`` stand, and which texts reach offset 1000."""
+    c = _contents(spark, sf_dir)
+    return ranges.occurrences(c, "2E 0A").unionByName(ranges.occurrences(c, "@0x3E8"))
 
 
 @query("SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.9) AS p90, quantile_disc(l_quantity, 0.99) AS p99 FROM lineitem GROUP BY 1")
@@ -722,7 +747,12 @@ def stream_daily_people(spark, sf_dir):
     return daily_people(table(spark, sf_dir, "events"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT vec_id AS i, row_number() OVER (ORDER BY vec_id) AS k, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, embedding[3]::DOUBLE * 1000 AS z FROM embeddings),
+near AS MATERIALIZED (SELECT b.k, list(a.i ORDER BY a.i) AS before FROM p a JOIN p b ON a.k < b.k AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 30 GROUP BY 1),
+walk(k, firsts, i, first) AS (SELECT 1::BIGINT, [i], i, i FROM p WHERE k = 1
+  UNION ALL SELECT p.k, CASE WHEN list_has_any(coalesce(n.before, []), firsts) THEN firsts ELSE list_append(firsts, p.i) END, p.i,
+    coalesce(list_min(list_intersect(coalesce(n.before, []), firsts)), p.i) FROM walk w JOIN p ON p.k = w.k + 1 LEFT JOIN near n ON n.k = p.k)
+SELECT i AS index, first FROM walk""")
 def greedy_clusters(spark, sf_dir):
     from gleanery.operators.relate import greedy_clusters as clusters
 

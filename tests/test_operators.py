@@ -74,6 +74,7 @@ def test_dates(spark):
 def test_composition_tiles(spark):
     rows = [("f", 0, 0, 0, 100, "content"), ("f", 1, 1, 10, 20, "metadata"), ("f", 2, 2, 15, 18, "thumbnail"), ("f", 3, 0, 120, 130, "content")]
     got = sorted(ranges.composition(spark.createDataFrame(rows, "file_id string, node_id int, depth int, start long, end long, role string")).collect(), key=lambda r: r["start"])
+    assert [r["node_id"] for r in got] == [0, 1, 2, 1, 0, None, 3]
     assert [(r["start"], r["end"], r["role"]) for r in got] == [(0, 10, "content"), (10, 15, "metadata"), (15, 18, "thumbnail"), (18, 20, "metadata"), (20, 100, "content"), (100, 120, "hidden"), (120, 130, "content")]
 
 
