@@ -8,10 +8,12 @@ comes in chunks of turns that follow each other without a seam; each says where
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanery.llm.common import written
+from gleanery.llm.common import BROADCAST_ROWS, written
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Turns of a chunk, and chunks of a stretch whose lengths are summed up first.
@@ -29,18 +31,40 @@ def _header(role: Column, own: Column) -> Column:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``rank``, a row's place in its conversation from 0. What one task numbers is one range of
-    the sorted rows; conversations that span several are put together by the ranges' counts."""
-    order = ["turn", "role", "text", "again"]
-    dealt = rows.repartitionByRange("conv", *order).sortWithinPartitions("conv", *order).withColumn("part", F.spark_partition_id())
-    placed = written(dealt, "turns")
+    """``rows`` (conv, turn, role, text, numbered) with ``rank``, a row's place in its conversation from 0; rows with a number that are
+    equal to the one before are left out. Each task numbers one range of the sorted rows; only conversations that go on from one range
+    to the next are put together by counts, and of those there are no more than ranges."""
+    order = ["conv", "turn", "role", "text", "numbered"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("inside", T.LongType()), T.StructField("part", T.IntegerType())])
+
+    def numbered(batches):
+        from pyspark import TaskContext
+
+        part, last, conv, n = TaskContext.get().partitionId(), None, None, -1
+        for b in batches:
+            keep, at = [], []
+            keys = [b.column(i).to_pylist() for i in (0, 1, 2, 4)]
+            for i, key in enumerate(zip(*keys)):
+                here = (key, b.column(3)[i].as_py())
+                if key[3] and here == last:
+                    continue
+                n = n + 1 if last is not None and key[0] == conv else 0
+                conv, last = key[0], here
+                keep.append(i)
+                at.append(n)
+            took = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(at, pa.int64()), pa.array([part] * len(at), pa.int32())], names=schema.names)
+
+    placed = written(dealt.mapInArrow(numbered, schema), "turns")
     counts = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
     before = "partition by conv order by part rows between unbounded preceding and 1 preceding"
-    starts = counts.select(F.col("conv").alias("of"), F.col("part").alias("at"), F.expr(f"coalesce(sum(n) over ({before}), 0L)").alias("base"))
-    here = F.expr("row_number() over (partition by part, conv order by turn, role, text, again)")
-    inside = placed.withColumn("rank", here - 1)
-    return inside.join(starts, F.col("conv").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))).select(
-        "conv", *order, (F.col("base") + F.col("rank")).alias("rank")
+    starts = counts.select(F.col("conv").alias("of"), F.col("part").alias("at"), F.expr(f"coalesce(sum(n) over ({before}), 0L)").alias("base")).where("base > 0")
+    starts = written(starts, "starts")
+    few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = F.col("conv").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))
+    return placed.join(F.broadcast(starts) if few else starts, same, "left").select(
+        "conv", "turn", "role", "text", (F.coalesce("base", F.lit(0).cast("long")) + F.col("inside")).alias("rank")
     )
 
 
@@ -58,24 +82,19 @@ def rotate(
     empty. An empty table gives none; other columns are not read, whatever their names.
     """
     number = F.col(f"`{turn_col}`").cast("long")
-    counted = turns.groupBy(
-        F.col(f"`{conv_col}`").alias("conv"),
-        number.alias("number"),
-        F.coalesce(F.col(f"`{role_col}`"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    each_one = F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("number").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))).alias("again")
-    rows = written(
-        _ranked(counted.select("conv", F.coalesce("number", F.lit(0).cast("long")).alias("turn"), "role", "text", each_one)).select(
-            "conv", F.floor(F.col("rank") / chunk).alias("chunk"), "rank", F.translate(escaped(F.col("role")), "\r\n", "  ").alias("name"), "role", escaped(F.col("text")).alias("text")
-        ),
-        "ranked",
+    raw = turns.select(
+        F.col(f"`{conv_col}`").alias("conv"), F.coalesce(number, F.lit(0).cast("long")).alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("unknown")).alias("role"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), number.isNotNull().alias("numbered"),
+    )
+    rows = _ranked(raw).select(
+        "conv", F.floor(F.col("rank") / chunk).alias("chunk"), "rank", F.translate(escaped(F.col("role")), "\r\n", "  ").alias("name"), "role", escaped(F.col("text")).alias("text")
     )
     chunks = rows.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list(F.struct("rank", "role", "name", "text"))).alias("turns"))
     said = rows.groupBy("conv", "chunk", "role").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name"), F.sum(F.char_length("text")).alias("chars"))
     people = said.groupBy(F.col("conv").alias("of"), F.col("role").alias("participant")).agg(F.max("name").alias("called")).select("of", "participant", "called")
     each = chunks.join(people, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
-    starts = _offsets(said, people)
+    starts = written(_offsets(said, people), "offsets")
+    few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     own = lambda t: t["role"] == F.col("participant")
     parts = each.withColumns({
         "heads": F.transform("turns", lambda t: _header(t["name"], own(t))),
@@ -93,7 +112,7 @@ def rotate(
     )
     mask = F.transform(F.filter(spans, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     same = F.col("conv").eqNullSafe(F.col("at_conv")) & (F.col("participant") == F.col("at_participant")) & (F.col("chunk") == F.col("at_chunk"))
-    made = sized.withColumn("start", start).join(starts, same, "left")
+    made = sized.withColumn("start", start).join(F.broadcast(starts) if few else starts, same, "left")
     return made.select(
         F.col("conv").alias(conv_col), "participant", "chunk", F.coalesce("begins", F.lit(0).cast("long")).alias("offset"),
         F.array_join(F.zip_with("heads", "bodies", lambda h, b: F.concat(h, b)), "").alias("text"),
