@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as X
 from gleanery.functions.dims import KINDS, NOT_DOMAINS, NOT_PEOPLE, POSED, REMOVABLE, RISKY, SHARED_SUFFIXES, finding_kinds, removal_contract
 from gleanery.operators import counters, ranges, relate, reports, sniff, verify
+from gleanery.plans.golden import CARVED, INSPECTED, MEMBERS, RECEIPTS, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +32,12 @@ def _values(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
+def _accounts(text: str) -> str:
+    """Accounts of home paths, in SQL: each once whatever its case."""
+    found = " , ".join(f"regexp_extract_all({text}, '{p}', 1)" for p in ("/Users/([A-Za-z0-9._ -]{1,64})/", "\\\\Users\\\\([A-Za-z0-9._ -]{1,64})\\\\", "/home/([A-Za-z0-9._ -]{1,64})/"))
+    return f"list_filter(flatten([{found}]), lambda x: lower(x) NOT IN {_values(NOT_PEOPLE)})"
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 # ---- findings in texts
@@ -50,9 +57,9 @@ def _distinct_first(list_sql: str) -> str:
     return f"(SELECT list_filter(a, lambda x, i: list_position({low}, lower(x)) = i) FROM (SELECT {list_sql} AS a))"
 
 
-def _mail_sql(excluded: bool) -> str:
+def _mail_sql(excluded: bool, rows: str = "documents") -> str:
     return f"""
-    WITH m AS (SELECT doc_id, {_mails(excluded)} AS a FROM documents),
+    WITH m AS (SELECT doc_id, {_mails(excluded)} AS a FROM {rows}),
     d AS (SELECT doc_id, list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i) AS a FROM m)
     SELECT doc_id, len(a) AS n, array_to_string(a[1:4], ', ') || CASE WHEN len(a) > 4 THEN ' and ' || (len(a) - 4) || ' more' ELSE '' END AS listed
     FROM d WHERE len(a) > 0"""
@@ -68,9 +75,17 @@ def emails_found(spark, sf_dir):
     return _mail_rows(table(spark, sf_dir, "documents"), ())
 
 
-@query(_mail_sql(True))
+_SIGNED = """(SELECT doc_id, coalesce(text, '') || ' u' || doc_id || '@Mail' || (doc_id % 7) || '.site.org U' || doc_id || '@mail' || (doc_id % 7) || '.SITE.org '
+  || CASE WHEN doc_id % 3 = 0 THEN 'a@x.net .b.c@y.net. git@z.net icon@2x.png 5@q.net d@w.net e@v.net ' ELSE 'me@example.com x@t.c1 ' END AS text FROM documents)"""
+
+
+@query(_mail_sql(True, _SIGNED))
 def emails_found_strict(spark, sf_dir):
-    return _mail_rows(table(spark, sf_dir, "documents"), ("example.com",))
+    """Whole texts with a signature of several addresses, some of which are none."""
+    i, s = F.col("doc_id"), lambda x: x.cast("string")
+    more = F.when(i % 3 == 0, "a@x.net .b.c@y.net. git@z.net icon@2x.png 5@q.net d@w.net e@v.net ").otherwise("me@example.com x@t.c1 ")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" u"), s(i), F.lit("@Mail"), s(i % 7), F.lit(".site.org U"), s(i), F.lit("@mail"), s(i % 7), F.lit(".SITE.org "), more)
+    return _mail_rows(table(spark, sf_dir, "documents").withColumn("text", said), ("example.com",))
 
 
 _PATHS = [
@@ -79,15 +94,17 @@ _PATHS = [
 
 
 @query(f"""
-WITH t AS (SELECT 'd' || doc_id AS id, coalesce(text, '') AS text FROM documents
+WITH t AS (SELECT 'd' || doc_id AS id, coalesce(text, '') || ' /Users/Ann ' || (doc_id % 50) || '/x /home/ann ' || (doc_id % 50) || '/ ' || CASE WHEN doc_id % 2 = 0 THEN '/home/runner/ \\Users\\B.o_b\\' ELSE '/Users/open' END AS text FROM documents
   UNION ALL SELECT * FROM (VALUES {', '.join(f"('p{i}', '{p}')" for i, p in enumerate(_PATHS))}) v(id, text)),
-n AS (SELECT id, list_filter(list_concat(list_concat(regexp_extract_all(text, '/Users/([A-Za-z0-9._ -]{{1,64}})/', 1),
-  regexp_extract_all(text, '\\\\Users\\\\([A-Za-z0-9._ -]{{1,64}})\\\\', 1)), regexp_extract_all(text, '/home/([A-Za-z0-9._ -]{{1,64}})/', 1)),
-  lambda x: lower(x) NOT IN {_values(NOT_PEOPLE)}) AS a FROM t)
+n AS (SELECT id, {_accounts("text")} AS a FROM t)
 SELECT id, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), ', ') AS accounts
 FROM n WHERE len(a) > 0""")
 def accounts_in_paths(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Whole texts with paths of home folders at their end, and some paths alone."""
+    i = F.col("doc_id")
+    end = F.when(i % 2 == 0, "/home/runner/ \\Users\\B.o_b\\").otherwise("/Users/open")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" /Users/Ann "), (i % 50).cast("string"), F.lit("/x /home/ann "), (i % 50).cast("string"), F.lit("/ "), end)
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), said.alias("text"))
     more = spark.createDataFrame([(f"p{i}", p) for i, p in enumerate(_PATHS)], "id string, text string")
     found = docs.unionByName(more).select("id", X.home_accounts(F.col("text")).alias("a")).where(F.size("a") > 0)
     return found.select("id", F.array_join("a", ", ").alias("accounts"))
@@ -154,12 +171,24 @@ _SAID = [("my-bank.com", "https://login.my-bank.com/x"), ("www.my-bank.com", "ht
          ("https://shop.co.uk/x", "https://other.co.uk"), ("pay.rozetka.com.ua", "https://rozetka.com.ua")]
 
 
-@query("""SELECT * FROM (VALUES ('my-bank.com', 'https://login.my-bank.com/x', false), ('www.my-bank.com', 'http://evil.example/my-bank.com', true),
-  ('click here', 'https://a.b.co.uk/', false), ('https://shop.co.uk/x', 'https://other.co.uk', true), ('pay.rozetka.com.ua', 'https://rozetka.com.ua', false)) v(words, href, elsewhere)
-UNION ALL SELECT words, url AS href, false FROM (""" + _LINKS + """) WHERE href <> ''""")
+_TO = "regexp_extract(lower(trim({})), '^https?://(?:[^/?#]*@)?([^/?#:@]*)', 1)"
+_SITE = f"CASE WHEN contains({_TO}, '.') THEN regexp_replace({_TO}, '\\.+$', '') END"
+_BARE = "regexp_extract(lower(regexp_replace(trim(words), '[/.,]+$', '')), '^([^/?#\\s]*)(?:[/?#]\\S*)?$', 1)"
+
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES {', '.join(f"('{w}', '{h}')" for w, h in _SAID)}) v(words, href) UNION ALL SELECT words, url FROM ({_LINKS}) WHERE href <> ''
+  UNION ALL SELECT 'https://www.' || regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) || '/' || page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://other' || page_id || '.org/' END FROM pages),
+s AS (SELECT words, href, regexp_replace(coalesce({_SITE.format("regexp_replace(trim(words), '[/.,]+$', '')", "regexp_replace(trim(words), '[/.,]+$', '')")}, CASE WHEN regexp_matches({_BARE}, '^([a-z0-9-]+\\.)+[a-z]{{2,}}$') THEN {_BARE} END), '^(www\\.)+', '') AS said,
+  {_SITE.format('href', 'href')} AS site FROM l)
+SELECT words, href, coalesce({_BASE.format('said')} <> {_BASE.format('site')}, false) AS elsewhere FROM s""")
 def link_mismatch(spark, sf_dir):
+    """Links of pages; for each page its own address as words, that goes there or elsewhere; and some pairs."""
     links = _page_links(spark, sf_dir).select("words", F.col("url").alias("href"))
-    rows = spark.createDataFrame(_SAID, "words string, href string").unionByName(links)
+    i, at = F.col("page_id"), F.regexp_extract(F.lower("url"), "^https?://([^/?#:]*)", 1)
+    named = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("https://www."), at, F.lit("/"), i).alias("words"), F.when(i % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://other"), i, F.lit(".org/"))).alias("href")
+    )
+    rows = spark.createDataFrame(_SAID, "words string, href string").unionByName(links).unionByName(named)
     return rows.withColumn("elsewhere", X.says_elsewhere(F.col("words"), X.host(F.col("href"))))
 
 
@@ -217,26 +246,48 @@ _HEAD = "from_hex('{}')"
 _FILES = [("a.png", "89504E470D0A1A0A"), ("b.jpg", "89504E470D0A1A0A"), ("c.pdf", "504B0304"), ("d.gif", "474946383961"), ("e.webp", "524946460000000057454250"),
           ("f.wav", "524946460000000057415645"), ("g.heic", "000000186674797068656963"), ("h.mp4", "000000186674797069736F6D"), ("i.wasm", "0061736D01000000"),
           ("j.doc", "D0CF11E0A1B11AE1"), ("k.rtf", "7B5C72746631"), ("l.flac", "664C6143"), ("m.ogg", "4F676753"), ("n.mp3", "494433"), ("o.tif", "49492A00"), ("p.pdf", "255044462D312E37")]
-_FORMATS = "png png zip gif webp wav heif video wasm cfb rtf flac ogg mp3 tiff pdf".split()
-_MISNAMED = {"b.jpg": "jpeg", "c.pdf": "pdf"}
-
-
-@query(f"""SELECT name, format, misnamed FROM (VALUES {', '.join(f"('{n}', '{f}', {repr(_MISNAMED.get(n)) if n in _MISNAMED else 'NULL'})" for (n, _), f in zip(_FILES, _FORMATS))}) v(name, format, misnamed)
-UNION ALL SELECT 'doc-' || doc_id || '.txt', 'unknown', NULL FROM documents
-UNION ALL SELECT 'page-' || page_id || '.svg', 'unknown', 'svg' FROM pages""")
+_ANY = lambda h: f"h[1:{len(h)}] = '{h}'"
+_MAIL_NAMES = "('from', 'to', 'subject', 'date', 'received', 'message-id', 'mime-version')"
+_SNIFFED = f"""CASE WHEN h = '' OR h IS NULL THEN 'unknown' WHEN h[3:8] = '504E47' THEN 'png' WHEN {_ANY('FFD8FF')} THEN 'jpeg'
+  WHEN h[9:16] = '66747970' AND h[17:24] IN ('68656963', '68656978', '6D696631', '61766966', '68657663') THEN 'heif'
+  WHEN {_ANY('52494646')} AND h[17:24] = '57454250' THEN 'webp' WHEN {_ANY('474946383761')} OR {_ANY('474946383961')} THEN 'gif' WHEN {_ANY('49492A00')} OR {_ANY('4D4D002A')} THEN 'tiff'
+  WHEN h[1:8] IN ('52494646', '52494658', '52463634', '42573634') AND h[17:24] = '57415645' THEN 'wav' WHEN {_ANY('494433')} OR h[1:4] IN ('FFFB', 'FFFA', 'FFF3', 'FFF2') THEN 'mp3'
+  WHEN {_ANY('664C6143')} THEN 'flac' WHEN {_ANY('4F676753')} THEN 'ogg' WHEN h[9:16] IN ('66747970', '6D6F6F76') THEN 'video' WHEN {_ANY('0061736D')} THEN 'wasm'
+  WHEN contains(h[1:2048], '255044462D') THEN 'pdf' WHEN {_ANY('D0CF11E0A1B11AE1')} THEN 'cfb' WHEN {_ANY('504B0304')} OR {_ANY('504B0506')} THEN 'zip' WHEN {_ANY('7B5C727466')} THEN 'rtf'
+  WHEN regexp_matches(t, '^(\\s|<\\?[^>]*>|<!DOCTYPE[^>]*>)*<svg[\\s>/]') THEN 'svg'
+  WHEN len(list_distinct(list_filter(list_transform(string_split(t, chr(10))[1:200], lambda x: lower(regexp_extract(x, '^([A-Za-z-]+):', 1))), lambda x: x IN {_MAIL_NAMES}))) >= 2 THEN 'eml'
+  ELSE 'unknown' END"""
+
+
+@query(f"""WITH f AS (SELECT name, hex AS h, '' AS t FROM (VALUES {', '.join(f"('{n}', '{h}')" for n, h in _FILES)}) v(name, hex)
+  UNION ALL SELECT 'doc-' || doc_id || '.txt', hex(encode(substr(text, 1, 8192))), substr(text, 1, 8192) FROM documents
+  UNION ALL SELECT 'mail-' || doc_id || '.eml', hex(encode('Subject: ' || substr(text, 1, 100))), CASE WHEN doc_id % 2 = 0 THEN 'From: a@b.org' || chr(10) ELSE '' END || 'Subject: ' || replace(substr(text, 1, 100), chr(10), ' ') || chr(10) FROM documents
+  UNION ALL SELECT 'page-' || page_id || '.svg', hex(encode(substr(html, 1, 8192))), substr(html, 1, 8192) FROM pages
+  UNION ALL SELECT 'drawn-' || page_id || '.svg', hex(encode('<?xml?> <svg>')), '<?xml?> <svg>' FROM pages),
+k AS (SELECT name, {_SNIFFED} AS format, regexp_extract(lower(name), '\\.([a-z0-9]+)$', 1) AS ext FROM f),
+m AS (SELECT *, CASE WHEN ext = 'jpg' THEN 'jpeg' WHEN ext IN ('heic') THEN 'heif' WHEN ext = 'tif' THEN 'tiff' WHEN ext = 'mp4' THEN 'video' WHEN ext = 'doc' THEN 'cfb'
+  WHEN ext IN ('png', 'pdf', 'gif', 'webp', 'wav', 'wasm', 'rtf', 'flac', 'ogg', 'mp3', 'svg', 'eml') THEN ext END AS said FROM k)
+SELECT name, format, CASE WHEN said <> format THEN said END AS misnamed FROM m""")
 def sniff_format(spark, sf_dir):
     files = spark.createDataFrame([(n, bytes.fromhex(h)) for n, h in _FILES], "name string, content binary")
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".svg")).alias("name"), F.encode("html", "UTF-8").alias("content"))
-    return sniff.identified(files.unionByName(docs).unionByName(pages)).select("name", "format", "misnamed")
+    head = F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(" "))
+    lines = F.concat(F.when(F.col("doc_id") % 2 == 0, "From: a@b.org\n").otherwise(""), F.lit("Subject: "), head, F.lit("\n"))
+    mails = table(spark, sf_dir, "documents").select(F.concat(F.lit("mail-"), "doc_id", F.lit(".eml")).alias("name"), F.encode(lines, "UTF-8").alias("content"))
+    drawn = table(spark, sf_dir, "pages").select(F.concat(F.lit("drawn-"), "page_id", F.lit(".svg")).alias("name"), F.encode(F.lit("<?xml?> <svg>"), "UTF-8").alias("content"))
+    return sniff.identified(files.unionByName(docs).unionByName(mails).unionByName(pages).unionByName(drawn)).select("name", "format", "misnamed")
 
 
 @query(rf"""
-WITH p AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
+WITH p AS (SELECT CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a/..' WHEN 2 THEN 'c:' ELSE '..b' END || CASE page_id % 4 WHEN 0 THEN ltrim(path, '/') ELSE path END AS path
+  FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages))
 SELECT regexp_extract(regexp_extract(path, '([^/]*)$', 1), '.\.([a-z0-9]+)$', 1) AS extension, count(*) AS n,
   count(*) FILTER (WHERE regexp_matches(path, '^/|\\|^[A-Za-z]:|(^|/)\.\.(/|$)')) AS rooted FROM p GROUP BY 1""")
 def url_extensions(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(X.lower(X.url_path(F.col("url"))).alias("path"))
+    """Paths of pages as members of archives: plain, through a folder above, on a drive, and with a name that only begins with dots."""
+    path, n = X.lower(X.url_path(F.col("url"))), F.col("page_id") % 4
+    rows = table(spark, sf_dir, "pages").select(F.when(n == 0, F.ltrim(path, F.lit("/"))).when(n == 1, F.concat(F.lit("a/.."), path)).when(n == 2, F.concat(F.lit("c:"), path)).otherwise(F.concat(F.lit("..b"), path)).alias("path"))
     return rows.groupBy(X.extension(F.col("path")).alias("extension")).agg(F.count(F.lit(1)).alias("n"), F.count_if(X.unsafe_path(F.col("path"))).alias("rooted"))
 
 
@@ -276,6 +327,8 @@ _FACTS = f"""facts AS (
   SELECT doc_id AS file_id, 'emails' AS kind, unnest(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i)) AS text
   FROM (SELECT doc_id, {_mails(False)} AS a FROM documents)
   UNION ALL SELECT doc_id, 'sentfrom', unnest({_IPS}) FROM documents
+  UNION ALL SELECT doc_id, 'account', unnest(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i))
+  FROM (SELECT doc_id, {_accounts("coalesce(text, '')")} AS a FROM documents)
 ), problems AS (
   SELECT doc_id AS file_id, 'damage' AS concern, 'runs of signs' AS label FROM documents WHERE regexp_matches(text, '[*$%&#]{{3}}')
   UNION ALL SELECT doc_id, 'hidden', 'data after a line' FROM documents WHERE contains(text, '!!')
@@ -666,7 +719,16 @@ def _sample_files(spark) -> DataFrame:
     return spark.createDataFrame(rows, "file_id string, name string, content binary")
 
 
-@query()
+_NONE = "NULL::BIGINT AS start, NULL::BIGINT AS length, NULL::BOOLEAN AS complete"
+
+
+@query(f"""SELECT * FROM {values(INSPECTED, 'tttntt' + 'nnb')} v(file_id, format, row, ordinal, kind, text, start, length, complete)
+UNION ALL SELECT 'page-' || page_id, 'unknown', 'file', 0, 'unknown', NULL, 0, strlen(html), true FROM pages
+UNION ALL SELECT 'doc-' || doc_id, 'unknown', 'file', 0, 'unknown', NULL, 0, strlen(coalesce(text, '')), true FROM documents
+UNION ALL SELECT 'item-' || item_id, 'unknown', 'file', 0, 'unknown', NULL, 0, strlen(text), true FROM benchmark
+UNION ALL SELECT file_id, 'unknown', 'fact', row_number() OVER (PARTITION BY file_id ORDER BY kind) - 1, kind, text, NULL, NULL, NULL FROM (
+  SELECT 'doc-' || doc_id AS file_id, 'emails' AS kind, listed AS text FROM ({_mail_sql(True)}) UNION ALL SELECT 'page-' || doc_id, 'emails', listed FROM ({_mail_sql(True, '(SELECT page_id AS doc_id, html AS text FROM pages)')})
+  UNION ALL SELECT id, 'account', array_to_string(a, ', ') FROM (SELECT 'doc-' || doc_id AS id, {_accounts("coalesce(text, '')")} AS a FROM documents) WHERE len(a) > 0)""")
 def inspect_files(spark, sf_dir):
     """Every fact and problem of the sample files and of all pages, documents and benchmark items as files."""
     from gleanery.sources.engine import inspect
@@ -698,15 +760,16 @@ def node_depths(spark, sf_dir):
     from gleanery.sources.files import from_table
 
     pages = from_table(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("format", F.lit("html"))
-    tables(inspect(pages, "format"))["nodes"].createOrReplaceTempView("gleanery_nodes")
+    nodes = tables(inspect(pages, "format"))["nodes"]
     return spark.sql("""
       WITH RECURSIVE d(file_id, node_id, depth) AS (
-        SELECT file_id, node_id, 0 FROM gleanery_nodes WHERE parent_id IS NULL
-        UNION ALL SELECT n.file_id, n.node_id, d.depth + 1 FROM gleanery_nodes n JOIN d ON n.file_id = d.file_id AND n.parent_id = d.node_id
-      ) SELECT depth, count(*) AS n FROM d GROUP BY depth""")
+        SELECT file_id, node_id, 0 FROM {nodes} WHERE parent_id IS NULL
+        UNION ALL SELECT n.file_id, n.node_id, d.depth + 1 FROM {nodes} n JOIN d ON n.file_id = d.file_id AND n.parent_id = d.node_id
+      ) SELECT depth, count(*) AS n FROM d GROUP BY depth""", nodes=nodes)
 
 
-@query()
+@query(f"""SELECT * FROM {values(RECEIPTS, 'ttnttntb')} v(file_id, format, removed_bytes, removed_kinds, present_kinds, unchecked, error, complete)
+UNION ALL SELECT 'page-' || page_id, 'unknown', 0, '', '', 0, 'unsupported', false FROM pages""")
 def clean_receipts(spark, sf_dir):
     """Clean copies of the sample files and of all pages as files, read again and compared with what they are copies of."""
     from gleanery.sources.files import from_table
@@ -714,23 +777,29 @@ def clean_receipts(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages").withColumn("id", F.concat(F.lit("page-"), "page_id"))
     _, receipts = verified_copies(_sample_files(spark).unionByName(from_table(pages, "id", "html").drop("length")))
-    return receipts
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return receipts.select("file_id", "format", "removed_bytes", listed("removed_kinds"), listed("present_kinds"), "unchecked", "error", "complete")
 
 
-@query()
+@query(f"SELECT * FROM {values(MEMBERS, 'ttnnnn')} v(file_id, name, position, method, size, crc)")
 def archive_listing(spark, sf_dir):
+    """Members of the archives among the sample files, by a table function under SQL."""
     from gleanery.sources.engine import register
 
     register(spark)
-    sniff.identified(_sample_files(spark)).where("format = 'zip'").createOrReplaceTempView("gleanery_zips")
-    return spark.sql("SELECT file_id, e.* FROM gleanery_zips, LATERAL archive_entries(content) e")
+    rows = sniff.identified(_sample_files(spark)).where("format = 'zip'")
+    return spark.sql("SELECT file_id, e.name, e.position, CAST(e.method AS BIGINT) AS method, e.size, e.crc FROM {rows}, LATERAL archive_entries(content) e", rows=rows)
 
 
-@query()
+@query(f"SELECT * FROM {values(CARVED, 'ttnn')} v(file_id, format, start, length) UNION ALL SELECT 'doc-' || doc_id, 'png', 3 + strlen(coalesce(text, '')), 68 FROM documents")
 def carved_files(spark, sf_dir):
+    """Files inside the sample files, and in all documents, to each of which a picture is put."""
     from gleanery.sources.engine import carved
+    from gleanery.sources.samples import png
 
-    return carved(_sample_files(spark))
+    body = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(b"..."), F.lit(png()), F.lit(b"..."))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("file_id"), body.alias("content"))
+    return carved(_sample_files(spark).select("file_id", "content").unionByName(docs))
 
 
 @query("SELECT CAST(ts::DATE AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -870,11 +939,46 @@ def film_rendering(spark, sf_dir):
 def pdf_page_marks(spark, sf_dir):
     from gleanery.sources.pages import page_marks
 
-    return page_marks(sniff.identified(_sample_files(spark)).where("format = 'pdf'"))
+    return page_marks(_drawn(spark, sf_dir))
 
 
-@query()
+def _drawn(spark, sf_dir) -> DataFrame:
+    """A one-page file for each document: its first word, under a dark box where the id is even, and a word off the page."""
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    content = F.concat(F.lit("BT /F1 10 Tf 50 700 Td ("), word, F.lit(") Tj 0 -200 Td (seen) Tj 900 0 Td (far) Tj ET 0 g "), F.when(F.col("doc_id") % 2 == 0, "40 690 500 30 re f").otherwise("40 100 500 30 re f"))
+    body = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Page /MediaBox [0 0 612 792] /Contents 2 0 R >>\nendobj\n2 0 obj\n<< /Length "), F.length(content).cast("string"),
+        F.lit(" >>\nstream\n"), content, F.lit("\nendstream\nendobj\n%%EOF\n"),
+    )
+    return table(spark, sf_dir, "documents").where(word != "").select(F.col("doc_id").cast("string").alias("file_id"), F.encode(body, "UTF-8").alias("content"))
+
+
+_FIRST = "(SELECT doc_id::VARCHAR AS file_id, doc_id, regexp_extract(coalesce(text, ''), '([A-Za-z]+)', 1) AS w FROM documents)"
+
+
+@query(f"SELECT file_id, 0 AS page, w AS text FROM {_FIRST} WHERE doc_id % 2 = 0 AND w <> ''")
 def pdf_covered_text(spark, sf_dir):
     from gleanery.sources.pages import covered_text
 
-    return covered_text(sniff.identified(_sample_files(spark)).where("format = 'pdf'"))
+    return covered_text(_drawn(spark, sf_dir))
+
+
+@query(f"""SELECT file_id, 0 AS page, 'covered' AS kind, w AS text FROM {_FIRST} WHERE doc_id % 2 = 0 AND w <> '' UNION ALL SELECT file_id, 0, 'hiddentext', 'far' FROM {_FIRST} WHERE w <> ''""")
+def pdf_findings(spark, sf_dir):
+    from gleanery.sources.pages import page_findings
+
+    return page_findings(_drawn(spark, sf_dir))
+
+
+@query(f"SELECT file_id, 0 AS page, CASE WHEN lower(w) = 'far' THEN 'seen' ELSE w || 'seen' END AS text, CASE WHEN w IN ('far', 'FAR', 'Far') THEN 6 ELSE 3 END AS removed FROM {_FIRST} WHERE w <> '' AND NOT contains(lower(w), 'far')")
+def pdf_redacted(spark, sf_dir):
+    """The word off the page taken out of every file; what the copies still say."""
+    from gleanery.sources.pages import page_marks
+    from gleanery.sources.redact import redacted
+
+    files = _drawn(spark, sf_dir).where(~F.lower(F.decode("content", "UTF-8")).rlike(r"td \([a-z]*far[a-z]*\) tj 0 -200"))
+    copies = redacted(files, ["far"])
+    said = page_marks(copies.select("file_id", F.col("copy").alias("content"))).where("kind = 'glyph'").groupBy("file_id", "page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("text")
+    )
+    return said.join(copies.select("file_id", "removed"), "file_id")

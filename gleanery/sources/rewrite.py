@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.operators.sniff import identified
+from gleanery.operators.sniff import identified, refined
 from gleanery.shared import written
 
 Removed = list[tuple[str, int]]
@@ -144,7 +144,8 @@ def _zip(d: bytes) -> tuple[bytes, Removed]:
                     gone.append(("times", 4))
                 if _BARE.search(e.filename) and e.file_size <= MOST_MEMBER:
                     body = a.read(e)
-                    bare = re.sub(rb">[^<>]+</", b"></", body)
+                    bare = re.sub(rb"(?s)<property\b.*?</property>|<meta:user-defined\b.*?</meta:user-defined>", b"", body)
+                    bare = re.sub(rb">[^<>]+</", b"></", bare)
                     gone += [(e.filename, len(body) - len(bare))] if len(bare) < len(body) else []
                     b.writestr(info, bare)
                     continue
@@ -278,6 +279,7 @@ def clean_copies(files: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):  # a row at a time: copies are as large as files
                 ident, name, form, content = (b.column(c)[i].as_py() for c in range(4))
+                form = refined(content or b"", form)
                 copy, gone, error = clean(content or b"", form)
                 row = {"file_id": ident, "name": name, "format": form, "copy": copy, "error": error, "removed": [{"label": x, "bytes": n} for x, n in gone]}
                 yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
