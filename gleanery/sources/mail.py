@@ -70,7 +70,7 @@ def read(d: bytes, f, root: int) -> None:
         elif kind == "text/html":
             body = (part.get_payload(decode=True) or b"").decode(part.get_content_charset() or "utf-8", "replace")
             sites = {}
-            for href, words in re.findall(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["'][^>]*>(.*?)</a>""", body)[:500]:
+            for href, words in re.findall(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["'][^>]*>(.*?)</a>""", body):
                 to = re.match(r"(?i)https?://(?:[^/?#]*@)?([^/?#:]*)", href.strip())
                 if not to:
                     continue
