@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import placed
+from gleanery.llm.common import apart, placed
 
 #: Bytes of a window, of the shared lead, of the spans, and of the shortest grams.
 WINDOW, LEAD, SPANS, GRAM = 96, 80, 4_096, 5
@@ -337,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
     def fitted(batches):
         rows = [(t, int(y)) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(apart(fit, rows))], pa.binary())], names=["model"])
 
     # the sample is as large as its bounds at most, so one task can fit; the driver sees the model alone
     made = one.select("_t", F.col("_y").cast("int").alias("_y")).repartition(1).mapInArrow(fitted, "model binary").collect()
