@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from gleanery.sources.pdfobj import Document, Name, Stream, parsed, text_of
+from gleanery.sources.pdfobj import Document, Name, Stream, text_of
 from gleanery.sources.pictures import xmp
 
 # Keys of the information dictionary, kinds of actions, by the kind of finding they make.
 INFO = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "application", "Producer": "producer", "CreationDate": "created", "ModDate": "modified"}
 ACTIONS = {b"JavaScript": ("scripts", "scripts"), b"Launch": ("launch", "opens a program"), b"SubmitForm": ("submits", "a form that goes out"), b"ImportData": ("submits", "reads data in")}
+#: Keys without which an object holds or does nothing of interest.
+_HELD, _DOES = {b"EF", b"Contents", b"URI", b"A", b"S"}, {b"S", b"A", b"AA", b"OpenAction", b"Names"}
 #: Names in a list of findings before the rest is counted.
 SHOWN = 4
 
@@ -24,7 +26,7 @@ def _text(value) -> str:
 
 
 def read(d: bytes, f, root: int) -> None:
-    nodes, objects = {}, parsed(d)
+    nodes, doc = {}, Document(d)
     for m in re.finditer(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b(?:.*?)\bendobj", d, re.S):
         nodes[int(m[1])] = f.node(root, f"object {int(m[1])}", m.start(), len(m[0]))
     ends = [m.start() for m in re.finditer(rb"%%EOF", d)]
@@ -34,8 +36,8 @@ def read(d: bytes, f, root: int) -> None:
         f.problem("hidden", "data after the end", ends[-1] + 5, len(d) - ends[-1] - 5)
     if len(ends) > 1:
         f.fact("updates", f"{len(ends) - 1} earlier", root)
-    doc = Document(d)
-    for number, (at, value) in objects.items():
+    for number, value in doc.objects.items():
+        at = doc.places[number]
         if isinstance(value, Stream):
             kind = value.head.get(b"Type")
             if kind in (b"ObjStm", b"XRef") or kind == b"Metadata":
@@ -73,7 +75,7 @@ def _held(doc: Document, f, root: int) -> None:
     """Files inside, notes on pages, links."""
     files, sites, notes = [], [], 0
     for value in doc.objects.values():
-        if not isinstance(value, dict):
+        if not isinstance(value, dict) or not value.keys() & _HELD:
             continue
         if isinstance(doc.get(value, b"EF"), dict):
             files.append(_text(doc.get(value, b"UF")) or _text(doc.get(value, b"F")) or "a file")
@@ -123,7 +125,7 @@ def _done(doc: Document, f, root: int) -> None:
     found = {}
     for value in doc.objects.values():
         holder = value.head if isinstance(value, Stream) else value
-        if not isinstance(holder, dict):
+        if not isinstance(holder, dict) or not holder.keys() & _DOES:
             continue
         for kind in (holder.get(b"S"), doc.get(holder, b"A", b"S"), doc.get(holder, b"OpenAction", b"S"), *(doc.get(v, b"S") for v in (doc.get(holder, b"AA") or {}).values())):
             if kind in ACTIONS:

@@ -15,6 +15,13 @@ _OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
 
 
+_FOLLOW = re.compile(rb"\s+(\d{1,5})\s+R\b")
+_BEGIN, _END = re.compile(rb"\s*stream\r?\n"), re.compile(rb"\s*endstream")
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+_SIMPLE = re.compile(rb"\(([^()\\]*)\)")
+_WORDS = {b"true": True, b"false": False, b"null": None}
+
+
 class Name(bytes):
     """A name without its slash."""
 
@@ -80,24 +87,28 @@ class Reader:
         if c == b"/":
             m = _PLAIN.match(d, at + 1)
             self.at = m.end() if m else at + 1
-            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m[0] if m else b""))
+            name = m[0] if m else b""
+            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), name) if b"#" in name else name)
         m = _PLAIN.match(d, at)
         self.at = m.end() if m else at + 1
         word = m[0] if m else c
         if _NUMBER.match(word):
-            follow = re.compile(rb"\s+(\d{1,5})\s+R\b").match(d, self.at) if word.isdigit() else None
+            follow = _FOLLOW.match(d, self.at) if word.isdigit() else None
             if follow:
                 self.at = follow.end()
                 return Ref(int(word))
             return float(word) if b"." in word else int(word)
-        return {b"true": True, b"false": False, b"null": None}.get(word, word)
+        return _WORDS.get(word, word)
 
     def string(self) -> bytearray:
+        if m := _SIMPLE.match(self.d, self.at):  # without escapes and brackets inside
+            self.at = m.end()
+            return bytearray(m[1])
         depth, at, out, d = 1, self.at + 1, bytearray(), self.d
         while at < len(d):
             c = d[at : at + 1]
             if c == b"\\":
-                m = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S).match(d, at)
+                m = _ESCAPE.match(d, at)
                 if not m:
                     break
                 out += bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1])
@@ -122,10 +133,10 @@ def parsed(d: bytes) -> dict[int, tuple[int, object]]:
         except (EOFError, ValueError):
             continue
         if isinstance(value, dict):
-            s = re.compile(rb"\s*stream\r?\n").match(d, r.at)
+            s = _BEGIN.match(d, r.at)
             if s:
                 n = value.get(b"Length")
-                end = s.end() + n if isinstance(n, int) and re.compile(rb"\s*endstream").match(d, s.end() + n) else d.find(b"endstream", s.end())
+                end = s.end() + n if isinstance(n, int) and _END.match(d, s.end() + n) else d.find(b"endstream", s.end())
                 raw = d[s.end() : end if end >= 0 else len(d)]
                 value = Stream(value, raw if isinstance(n, int) and len(raw) == n else re.sub(rb"\r?\n$", b"", raw))
         out[int(m[1])] = (m.start(), value)
@@ -162,7 +173,8 @@ def written(value) -> bytes:
 
 class Document:
     def __init__(self, d: bytes) -> None:
-        self.objects = {n: v for n, (_, v) in parsed(d).items()}
+        found = parsed(d)
+        self.places, self.objects = {n: at for n, (at, _) in found.items()}, {n: v for n, (_, v) in found.items()}
         self.trailer: dict = {}
         for m in re.finditer(rb"\btrailer\b", d):
             try:
