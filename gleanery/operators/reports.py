@@ -135,6 +135,19 @@ def differing_fields(fields: DataFrame, by: list[str], label: str, value: str, m
     return n.where("n_values > 1")
 
 
+def filled(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of both by ``key``: of each other column the first side's value where it has one, else the second's."""
+    other = second.select([F.col(c).alias(f"_{i}") for i, c in enumerate(second.columns)])
+    place = {c: f"_{i}" for i, c in enumerate(second.columns)}
+    on = None
+    for k in key:
+        same = F.col(k).eqNullSafe(F.col(place[k]))
+        on = same if on is None else on & same
+    names = [*first.columns, *[c for c in second.columns if c not in first.columns]]
+    value = lambda c: F.coalesce(F.col(c), F.col(place[c])) if c in first.columns and c in place else F.col(c if c in first.columns else place[c])
+    return first.join(other, on, "full_outer").select([value(c).alias(c) for c in names])
+
+
 def ndjson(summary: DataFrame, facts: DataFrame) -> DataFrame:
     """A JSON line for each file; values that are null are left out, ``complete`` stands only where it is false."""
     reveals = facts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("kind", "text"))).alias("reveals"))

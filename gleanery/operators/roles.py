@@ -77,6 +77,64 @@ def role_of(format_: Column, depth: Column, label: Column, severity: Column | No
     return out
 
 
+#: What parts are, in words: format, context (an ancestor's label, or -), pattern, sentence. The first row that fits counts, see ``described``.
+DESCRIPTIONS = """
+png | - | IHDR | width, height and kind of pixels
+png | - | IDAT | the packed pixels
+png | - | PLTE | the colours that pixels refer to
+png | - | tEXt | a note in plain letters
+png | - | zTXt | a note, packed
+png | - | iTXt | a note in any script
+png | - | tIME | when the picture was changed last
+png | - | eXIf | what the camera wrote down
+png | - | iCCP | how colours are meant
+png | - | IEND | the end of the picture
+jpeg | - | SOI | the beginning of the picture
+jpeg | - | marker e1 | what the camera or a program wrote down
+jpeg | - | marker ed | captions and resources of an editor
+jpeg | - | marker fe | a note
+jpeg | - | scan | the packed pixels
+jpeg | - | EOI | the end of the picture
+gif | - | image | a frame
+gif | - | extension fe | a note
+heif | - | item * · Exif | what the camera wrote down
+heif | - | mdat | the pictures themselves
+video | - | moov | how the movie is put together
+video | - | udta | what describes the movie
+video | - | mdat | sound and pictures
+wav | - | fmt | how sound is sampled
+wav | - | data | the sound
+mp3 | - | ID3* | what describes the recording
+mp3 | - | frames | the sound
+flac | - | block 4 | comments on the recording
+ogg | - | page | a page of the stream
+wasm | - | section 0 | a section beside the program
+wasm | - | section 10 | the program
+zip | - | directory | the list of members
+zip | - | docProps/* | what the program knows about the document
+zip | - | word/* | a part of the text document
+zip | - | xl/* | a part of the workbook
+zip | - | ppt/* | a part of the presentation
+pdf | - | object * | an object of the document
+eml | - | headers | who, when and by which way
+rtf | - | info | who and when
+svg | - | metadata | what describes the drawing
+html | head | * | a part of the page's head
+html | - | a | a link
+html | - | #comment | a remark that is not shown
+* | colour profile | * | an entry of a colour profile
+* | - | tag * | a field of the camera's notes
+* | - | data after* | bytes that no reader looks at
+* | - | limit reached | more parts than are read
+"""
+
+
+def descriptions(spark) -> DataFrame:
+    """``position, format, context, pattern, sentence``, for ``described``."""
+    rows = [tuple(None if c == "-" else c for c in x.split(" | ")) for x in DESCRIPTIONS.split("\n") if x]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, format string, context string, pattern string, sentence string")
+
+
 def with_depth(nodes: DataFrame, most: int = 64) -> DataFrame:
     """``nodes`` (file_id, node_id, parent_id) with ``depth`` and ``ancestors`` (labels from the root down).
 

@@ -389,3 +389,31 @@ def page_findings(files: DataFrame) -> DataFrame:
     links = G.link_words(glyphs, of("link").where("text is not null").withColumnRenamed("text", "href")).where("elsewhere")
     said = links.select("file_id", "page", F.lit("linkmismatch").alias("kind"), F.concat("words", F.lit(" goes to "), "href").alias("text"))
     return covered.unionByName(hidden).unionByName(row(pictures, "covered")).unionByName(said)
+
+
+def removed_texts(files: DataFrame) -> DataFrame:
+    """``file_id, page, text``: lines of earlier revisions of a file that its pages no longer have. A revision is what stands before an
+    end mark."""
+    from gleanery.operators.geometry import taken_off
+    from gleanery.shared import written
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ident, content = b.column(0)[i].as_py(), b.column(1)[i].as_py() or b""
+                ends = [m.end() for m in re.finditer(rb"%%EOF\s*", content)]
+                rows = []
+                for last, end in [(False, e) for e in ends[:-1]] + [(True, len(content))] if len(ends) > 1 else []:
+                    lines: dict[tuple, list[str]] = {}
+                    try:
+                        for r in painted(content[:end]):
+                            if r[1] == "glyph" and not r[11]:
+                                lines.setdefault((r[0], round(r[4], 1)), []).append(r[7] or "")
+                    except (ValueError, IndexError, TypeError, RecursionError, OverflowError):
+                        continue
+                    rows += [(ident, page, "".join(said).strip(), last) for (page, _), said in lines.items() if "".join(said).strip()]
+                columns = list(zip(*rows)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["file_id", "page", "text", "last"])
+
+    lines = written(files.select(F.col("file_id").cast("string"), "content").mapInArrow(run, "file_id string, page bigint, text string, last boolean"), "lines")
+    return taken_off(lines.where("not last"), lines.where("last"))

@@ -78,3 +78,13 @@ def test_findings_and_copies(spark):
     assert got == {("a", "covered", "COVEREDMARKED"), ("a", "hiddentext", "UNSEEN"), ("a", "linkmismatch", "bank.com goes to https://evil.org/x")}
     copies = {r["file_id"]: r for r in redacted(files, ["unseen", "fine"]).collect()}
     assert copies["a"]["removed"] == 6 and copies["a"]["error"] is None and copies["b"]["removed"] == 4 and copies["c"]["error"] == "nothing"
+
+
+def test_removed_by_an_update(spark):
+    from gleanery.sources.pages import removed_texts
+
+    first = page(b"BT /F1 10 Tf 50 700 Td (old price 9) Tj 0 -20 Td (kept) Tj ET")
+    packed = zlib.compress(b"BT /F1 10 Tf 50 700 Td (new price 8) Tj 0 -20 Td (kept) Tj ET")
+    update = b"2 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream\nendobj\ntrailer << /Root 1 0 R >>\n%%EOF\n"
+    files = spark.createDataFrame([("a", bytearray(first + update)), ("b", bytearray(first)), ("c", None)], "file_id string, content binary")
+    assert [tuple(r) for r in removed_texts(files).collect()] == [("a", 0, "old price 9")]

@@ -93,3 +93,31 @@ def test_summary_table(spark):
     t = spark.createDataFrame([(i, "png", None, ["emails"], [], 1, 0, i % 2 == 0) for i in range(5)], "file_id int, format string, misnamed string, kinds array<string>, concerns array<string>, n_facts int, n_problems int, fails boolean")
     text = sinks.summary_table(t, most=3).first()["text"]
     assert text.splitlines()[2:] == ["| 0 | png | emails | - | yes |", "| 1 | png | emails | - |  |", "| 2 | png | emails | - | yes |", "and 2 more files"]
+
+
+def test_descriptions(spark):
+    from gleanery.sources import samples as S
+    from gleanery.sources.engine import inspect, tables
+
+    files = spark.createDataFrame([("a", "a.png", bytearray(S.interlaced_png())), ("b", "b.docx", bytearray(S.docx()))], "file_id string, name string, content binary")
+    long = inspect(files)
+    nodes = roles.with_depth(tables(long)["nodes"].join(long.where("row = 'file'").select("file_id", "format"), "file_id"))
+    got = {(r["file_id"], r["label"]): r["sentence"] for r in roles.described(nodes, roles.descriptions(spark)).collect()}
+    assert got["a", "IDAT"] == "the packed pixels" and got["a", "cprt"] == "an entry of a colour profile" and got["b", "docProps/core.xml"] == "what the program knows about the document"
+    assert got["a", "width"] is None
+
+
+def test_filled(spark):
+    from gleanery.operators.reports import filled
+
+    a, b = spark.createDataFrame([(1, None, "x"), (2, "p", None)], "k int, v string, w string"), spark.createDataFrame([(1, "q", "y", 9), (3, "r", None, 8)], "k int, v string, w string, z int")
+    assert sorted(map(tuple, filled(a, b, ["k"]).collect())) == [(1, "q", "x", 9), (2, "p", None, None), (3, "r", None, 8)]
+
+
+def test_copies_of_related_files(spark):
+    from gleanery.sources import samples as S
+    from gleanery.sources.rewrite import related_copies
+
+    files = spark.createDataFrame([(n, n, bytearray(S.gif())) for n in ("a.gif", "b.gif", "c.gif")], "file_id string, name string, content binary")
+    groups = spark.createDataFrame([(["a.gif", "b.gif"],)], "indexes array<string>")
+    assert sorted(r["file_id"] for r in related_copies(files, groups).collect()) == ["a.gif", "b.gif"]
