@@ -42,12 +42,16 @@ def read(d: bytes, f, root: int) -> None:
             kind = value.head.get(b"Type")
             if kind in (b"ObjStm", b"XRef") or kind == b"Metadata":
                 got = value.data()
-                if got.error and b"Encrypt" not in doc.trailer:
+                if got.error and not doc.locked:
                     f.problem("damage", f"object {number} {got.error}", at, len(value.raw))
                 elif not got.whole and not got.error:
                     f.bound(f"bytes of object {number}", at, len(value.raw))
                 elif kind == b"Metadata":
                     xmp(got.data, f, nodes.get(number, root), at)
+    if doc.locked:  # what it says can't be read: the result is partial
+        f.problem("oddity", "a password is needed", 0, len(d))
+        f.complete = False
+        return _encryption(doc, f, root)
     info = doc.get(doc.trailer, b"Info")
     for key, kind in INFO.items():
         f.fact(kind, _text(doc.get(info, key.encode())), root)
@@ -63,7 +67,7 @@ def _encryption(doc: Document, f, root: int) -> None:
         return
     version, bits = doc.get(lock, b"V"), doc.get(lock, b"Length") or 40
     how = {1: "RC4, 40 bits", 2: f"RC4, {bits} bits", 4: "128 bits", 5: "AES, 256 bits"}.get(version, "an unknown way")
-    f.fact("encryption", f"encrypted ({how})", root)
+    f.fact("encryption", f"encrypted ({how})" + ("" if doc.locked else ", opens without a password"), root)
     rights = doc.get(lock, b"P")
     if isinstance(rights, int):
         denied = [name for bit, name in ((3, "printing"), (4, "changes"), (5, "copying"), (6, "comments")) if not rights >> bit - 1 & 1]

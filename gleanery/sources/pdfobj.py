@@ -124,7 +124,7 @@ class Reader:
 
 
 def parsed(d: bytes) -> dict[int, tuple[int, object]]:
-    """Each object by number, as (position, value): the last definition, those in object streams too. What can't be read is left out."""
+    """Each object by number, as (position, value): the last definition. What can't be read is left out."""
     out: dict[int, tuple[int, object]] = {}
     for m in _OBJECT.finditer(d):
         r = Reader(d, m.end())
@@ -140,6 +140,11 @@ def parsed(d: bytes) -> dict[int, tuple[int, object]]:
                 raw = d[s.end() : end if end >= 0 else len(d)]
                 value = Stream(value, raw if isinstance(n, int) and len(raw) == n else re.sub(rb"\r?\n$", b"", raw))
         out[int(m[1])] = (m.start(), value)
+    return out
+
+
+def unpacked(out: dict[int, tuple[int, object]]) -> None:
+    """Adds the objects that stand in object streams."""
     for at, value in list(out.values()):
         if isinstance(value, Stream) and value.head.get(b"Type") == b"ObjStm":
             data, first = value.data().data, value.head.get(b"First", 0)
@@ -150,7 +155,6 @@ def parsed(d: bytes) -> dict[int, tuple[int, object]]:
                         out[int(number)] = (at, Reader(data, first + int(o)).value())
                     except (EOFError, ValueError):
                         continue
-    return out
 
 
 def written(value) -> bytes:
@@ -172,9 +176,11 @@ def written(value) -> bytes:
 
 
 class Document:
+    """A file's objects. ``locked``: it is encrypted and a password is needed; one that opens without is read in clear."""
+
     def __init__(self, d: bytes) -> None:
         found = parsed(d)
-        self.places, self.objects = {n: at for n, (at, _) in found.items()}, {n: v for n, (_, v) in found.items()}
+        self.objects = {n: v for n, (_, v) in found.items()}
         self.trailer: dict = {}
         for m in re.finditer(rb"\btrailer\b", d):
             try:
@@ -185,6 +191,38 @@ class Document:
         for v in self.objects.values():
             if isinstance(v, Stream) and v.head.get(b"Type") == b"XRef":
                 self.trailer |= {k: v.head[k] for k in (b"Root", b"Info", b"Encrypt", b"ID") if k in v.head}
+        self.locked = b"Encrypt" in self.trailer and not self._unlock(found)
+        unpacked(found)
+        self.places, self.objects = {n: at for n, (at, _) in found.items()}, {n: v for n, (_, v) in found.items()}
+
+    def _unlock(self, found: dict) -> bool:
+        from gleanery.sources.pdflock import Lock
+
+        ids = self.get(self.trailer, b"ID", 0)
+        try:
+            lock = Lock(self, bytes(ids) if isinstance(ids, (bytes, bytearray)) else b"")
+        except (TypeError, ValueError, IndexError, OverflowError):
+            return False
+        if lock.key is None:
+            return False
+        own = self.trailer[b"Encrypt"].number if isinstance(self.trailer[b"Encrypt"], Ref) else None
+
+        def clear(value, number: int):
+            if isinstance(value, bytearray):
+                return bytearray(lock.opened(bytes(value), number))
+            if isinstance(value, dict):
+                return {k: clear(v, number) for k, v in value.items()}
+            if isinstance(value, list):
+                return [clear(v, number) for v in value]
+            if isinstance(value, Stream):
+                raw = value.raw if value.head.get(b"Type") == b"XRef" else lock.opened(value.raw, number)
+                return Stream(clear(value.head, number), raw)
+            return value
+
+        for n, (at, value) in list(found.items()):
+            if n != own:
+                found[n] = (at, clear(value, n))
+        return True
 
     def get(self, value, *path):
         """``value`` itself or what it refers to, then the entries of ``path``; None where there is none."""

@@ -88,3 +88,61 @@ def test_removed_by_an_update(spark):
     update = b"2 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream\nendobj\ntrailer << /Root 1 0 R >>\n%%EOF\n"
     files = spark.createDataFrame([("a", bytearray(first + update)), ("b", bytearray(first)), ("c", None)], "file_id string, content binary")
     assert [tuple(r) for r in removed_texts(files).collect()] == [("a", 0, "old price 9")]
+
+
+def locked(version: int) -> bytes:
+    """A file that opens without a password, by the three ways of locking."""
+    import hashlib
+
+    from gleanery.sources import pdflock as L
+
+    ident, o, rights = b"0123456789abcdef", b"o" * 32, (-44) & 0xFFFFFFFF
+    if version == 5:
+        key, check, salt = b"k" * 32, b"checksal", b"key salt"
+        lock = {b"V": 5, b"R": 6, b"Length": 256, b"P": -44, b"O": bytearray(o + b"x" * 16), b"U": bytearray(L.strengthened(b"", check) + check + salt), b"UE": bytearray(L.cbc_encrypted(L.strengthened(b"", salt), bytes(16), key))}
+    else:
+        key = hashlib.md5(L.PAD + o + rights.to_bytes(4, "little") + ident).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        u = hashlib.md5(L.PAD + ident).digest()
+        for i in range(20):
+            u = L.rc4(bytes(b ^ i for b in key), u)
+        lock = {b"V": version, b"R": 3 if version == 2 else 4, b"Length": 128, b"P": -44, b"O": bytearray(o), b"U": bytearray(u + bytes(16))}
+    if version > 2:
+        lock |= {b"CF": {b"Std": {b"CFM": Name(b"AESV2" if version == 4 else b"AESV3")}}, b"StmF": Name(b"Std"), b"StrF": Name(b"Std")}
+
+    def shut(data: bytes, number: int) -> bytes:
+        k = key if version == 5 else hashlib.md5(key + number.to_bytes(3, "little") + b"\0\0" + (b"sAlT" if version == 4 else b"")).digest()[:16]
+        if version == 2:
+            return L.rc4(k, data)
+        n = 16 - len(data) % 16
+        return b"i" * 16 + L.cbc_encrypted(k, b"i" * 16, data + bytes([n]) * n)
+
+    content = shut(b"BT /F1 10 Tf 50 700 Td (inside) Tj ET", 2)
+    return (
+        b"%PDF-1.7\n1 0 obj\n" + written({b"Title": bytearray(shut(b"Hidden title", 1))}) + b"\nendobj\n2 0 obj\n<< /Length %d >>\nstream\n" % len(content) + content + b"\nendstream\nendobj\n"
+        b"3 0 obj\n<< /Type /Page /MediaBox [0 0 612 792] /Contents 2 0 R >>\nendobj\n4 0 obj\n" + written(lock) + b"\nendobj\n"
+        b"trailer << /Info 1 0 R /Encrypt 4 0 R /ID [<" + ident.hex().encode() + b"> <00>] >>\n%%EOF\n"
+    )
+
+
+def test_ciphers():
+    from gleanery.sources import pdflock as L
+
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        cipher = L.Aes(bytes(range(size)))
+        assert cipher.encrypted(block).hex() == want and cipher.decrypted(bytes.fromhex(want)) == block
+    assert L.rc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3"
+
+
+@pytest.mark.parametrize("version", [2, 4, 5])
+def test_files_that_open_without_a_password(version):
+    from gleanery.sources.decode import decode
+
+    d = locked(version)
+    f = decode(d, "pdf")
+    assert ("title", "Hidden title") in {(k, t) for k, t, _ in f.facts} and f.complete and shown(d) == "inside"
+    assert "opens without a password" in [t for k, t, _ in f.facts if k == "encryption"][0]
+    shut = decode(d.replace(b"/U <", b"/U <00"), "pdf")
+    assert not shut.complete and {k for k, _, _ in shut.facts} == {"encryption"}
