@@ -455,7 +455,10 @@ def sha256_receipts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(b).cast("long").alias("bytes"), F.sha2(b, 256).alias("sha256"), F.md5(b).alias("md5"))
 
 
-@query()
+@query(f"""WITH {_FACTS}, r AS (SELECT file_id, '[' || string_agg('{{"kind":"' || kind || '","text":"' || text || '"}}', ',' ORDER BY kind, text) || ']' AS reveals FROM facts GROUP BY 1),
+q AS (SELECT file_id, list_transform(concerns, lambda c: '"' || c || '"') AS c FROM summary)
+SELECT file_id, '{{"file":' || file_id || coalesce(',"format":"' || format || '"', '') || ',"problems":[' || array_to_string(c, ',') || ']' || coalesce(',"reveals":' || reveals, '') || coalesce(',"misnamed":"' || misnamed || '"', '') ||
+  CASE WHEN complete THEN '' ELSE ',"complete":false' END || '}}' AS line FROM summary LEFT JOIN r USING (file_id) JOIN q USING (file_id)""")
 def report_ndjson(spark, sf_dir):
     return reports.ndjson(_summary(spark, sf_dir), _facts(spark, sf_dir))
 
@@ -912,7 +915,8 @@ def tag_attributes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.lower(X.attribute(tag, "lang")), F.lit("")).alias("lang"))
 
 
-@query()
+@query(f"""SELECT host, count(*) AS n, host AS shown FROM (SELECT lower({_HOST.format('url')}) AS host FROM pages) GROUP BY 1
+UNION ALL SELECT 'xn--exmple-bank-zij.com', 1, '{b'xn--exmple-bank-zij'[4:].decode('punycode')}.com'""")
 def shown_hosts(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(X.host(F.col("url")).alias("host")).unionByName(spark.createDataFrame([("xn--exmple-bank-zij.com",)], "host string"))
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", X.shown_host("host"))
@@ -935,13 +939,6 @@ def film_rendering(spark, sf_dir):
     return rendered(rows, Settings("color-negative")).select("file_id", F.octet_length("rendered").alias("bytes"), F.crc32("rendered").alias("crc32"), "shadows", "highlights")
 
 
-@query()
-def pdf_page_marks(spark, sf_dir):
-    from gleanery.sources.pages import page_marks
-
-    return page_marks(_drawn(spark, sf_dir))
-
-
 def _drawn(spark, sf_dir) -> DataFrame:
     """A one-page file for each document: its first word, under a dark box where the id is even, and a word off the page."""
     word = F.regexp_extract("text", "([A-Za-z]+)", 1)
@@ -956,6 +953,21 @@ def _drawn(spark, sf_dir) -> DataFrame:
 _FIRST = "(SELECT doc_id::VARCHAR AS file_id, doc_id, regexp_extract(coalesce(text, ''), '([A-Za-z]+)', 1) AS w FROM documents)"
 
 
+_GLYPHS = "0.0::DOUBLE AS lightness, 1.0::DOUBLE AS alpha, 0 AS mode"
+
+
+@query(f"""WITH d AS (SELECT *, length(w) AS k FROM {_FIRST} WHERE w <> ''), g AS (SELECT file_id, k, unnest(range(k)) AS i, w FROM d)
+SELECT file_id, 0 AS page, 'glyph' AS kind, i AS ordinal, 50.0 + 5 * i AS l, 700.0 AS b, 55.0 + 5 * i AS r, 710.0 AS t, w[i + 1] AS text, {_GLYPHS}, 50 + 5 * i >= 612 AS off_page FROM g
+UNION ALL SELECT file_id, 0, 'glyph', k + i, 50.0 + 5 * i, 500.0, 55.0 + 5 * i, 510.0, 'seen'[i + 1], {_GLYPHS}, false FROM d, range(4) x(i)
+UNION ALL SELECT file_id, 0, 'glyph', k + 4 + i, 950.0 + 5 * i, 500.0, 955.0 + 5 * i, 510.0, 'far'[i + 1], {_GLYPHS}, true FROM d, range(3) x(i)
+UNION ALL SELECT file_id, 0, 'fill', k + 7, 40.0, CASE WHEN doc_id % 2 = 0 THEN 690.0 ELSE 100.0 END, 540.0, CASE WHEN doc_id % 2 = 0 THEN 720.0 ELSE 130.0 END, NULL, {_GLYPHS}, false FROM d
+UNION ALL SELECT file_id, 0, 'page', k + 8, 0.0, 0.0, 612.0, 792.0, NULL, 1.0, 1.0, 0, false FROM d""")
+def pdf_page_marks(spark, sf_dir):
+    from gleanery.sources.pages import page_marks
+
+    return page_marks(_drawn(spark, sf_dir))
+
+
 @query(f"SELECT file_id, 0 AS page, w AS text FROM {_FIRST} WHERE doc_id % 2 = 0 AND w <> ''")
 def pdf_covered_text(spark, sf_dir):
     from gleanery.sources.pages import covered_text
