@@ -121,10 +121,10 @@ a.gif | gif | 9 |  |  | 1 | - | True
 a.heic | heif | 172 | camera,location,serial |  | 0 | - | True
 a.mp3 | mp3 | 38 | artist,title |  | 0 | - | True
 a.mp4 | video | 32 | location |  | 1 | - | True
-a.odt | zip | 2 | author | deleted,tracked | 0 | - | True
+a.odt | zip | 172 | author,deleted,tracked |  | 0 | - | True
 a.ogg | ogg | 24 | artist,encoder,title |  | 0 | - | True
 a.pdf | pdf | 7 | author,title |  | 0 | - | True
-a.rtf | rtf | 61 | author,created,title | deleted | 0 | - | True
+a.rtf | rtf | 74 | author,created,deleted,title |  | 0 | - | True
 a.svg | svg | 84 | original,title |  | 0 | - | True
 a.svgz | svg | 84 | original,title |  | 0 | - | True
 a.tif | tiff | 68 | camera,location,serial |  | 0 | - | True

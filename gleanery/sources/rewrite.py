@@ -126,8 +126,16 @@ _BARE = re.compile(r"^docProps/(core|app|custom)\.xml$|^meta\.xml$")
 _GONE = re.compile(r"^docProps/thumbnail\.|^Thumbnails/|(^|/)\._[^/]+$|(^|/)\.DS_Store$|(^|/)Thumbs\.db$|printerSettings\d*\.bin$")
 
 
+_CHANGED = re.compile(r"^word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml$|^content\.xml$")
+#: What a change leaves in a text once it is accepted: deleted words and old formats go, inserted ones lose their frame.
+_ACCEPTED = re.compile(
+    rb"(?s)<w:del\s[^>]*(?<!/)>.*?</w:del>|<w:moveFrom\s[^>]*(?<!/)>.*?</w:moveFrom>|<w:(?:[rp]PrChange|sectPrChange|tblPrChange)\b.*?</w:(?:[rp]PrChange|sectPrChange|tblPrChange)>"
+    rb"|<text:tracked-changes\b.*?</text:tracked-changes>|<text:change(?:-start|-end)?\s[^>]*/>|</?w:(?:ins|moveTo)(?:\s[^>]*)?>|<w:del\s[^>]*/>"
+)
+
+
 def _zip(d: bytes) -> tuple[bytes, Removed]:
-    """Members copied as they are packed; property parts are emptied, what systems left behind goes."""
+    """Members copied as they are packed; property parts are emptied, changes accepted, what systems left behind goes."""
     out, gone = io.BytesIO(), []
     try:
         with zipfile.ZipFile(io.BytesIO(d)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
@@ -149,6 +157,12 @@ def _zip(d: bytes) -> tuple[bytes, Removed]:
                     gone += [(e.filename, len(body) - len(bare))] if len(bare) < len(body) else []
                     b.writestr(info, bare)
                     continue
+                if _CHANGED.search(e.filename) and e.file_size <= MOST_MEMBER:
+                    body = a.read(e)
+                    bare = _ACCEPTED.sub(b"", body)
+                    gone += [(f"changes of {e.filename}", len(body) - len(bare))] if len(bare) < len(body) else []
+                    b.writestr(info, bare)
+                    continue
                 with a.open(e) as source, b.open(info, "w") as to:  # a member at a time, a piece at a time
                     while piece := source.read(1 << 20):
                         to.write(piece)
@@ -166,8 +180,15 @@ def _rtf(d: bytes) -> tuple[bytes, Removed]:
         gone.append((m[1].decode(), len(m[0])))
         return b""
 
-    keys = rb"title|subject|author|operator|keywords|doccomm|company|manager|category|creatim|revtim|printim|buptim"
-    return re.sub(rb"\{\\(" + keys + rb")\b[^{}]*\}", drop, d), gone
+    keys = rb"title|subject|author|operator|keywords|doccomm|company|manager|category|creatim|revtim|printim|buptim|version|edmins|vern"
+    d = re.sub(rb"\{\\(" + keys + rb")\b[^{}]*\}", drop, d)
+    one = rb"(?:\\[{}\\]|[^{}])"
+    for _ in range(3):  # groups inside groups, up to three deep
+        one = rb"(?:\\[{}\\]|[^{}]|\{" + one + rb"*\})"
+    d = re.sub(rb"\{\\\*\\(revtbl|rsidtbl|template|generator|userprops|annotation|atnauthor|atnid|atndate|atrfstart|atrfend)\b" + one + rb"*\}", drop, d)
+    # deleted text goes up to the end of its group or to where deleting is turned off
+    d = re.sub(rb"\\(deleted)(?![0a-z])(?:(?!\\deleted0)" + one + rb")*(?:\\deleted0 ?)?", drop, d)
+    return re.sub(rb"\\(revised|revauthdel|revauth|revdttmdel|revdttm)(?![a-z])-?\d* ?", drop, d), gone
 
 
 def _svg(d: bytes) -> tuple[bytes, Removed]:

@@ -71,6 +71,24 @@ def test_clean_copies(form, make):
     assert again[2] == "nothing" or again[0] == copy or form == "pdf"
 
 
+def test_changes_are_accepted():
+    body = b'<w:p><w:ins w:id="1" w:author="Ann"><w:r><w:t>new </w:t></w:r></w:ins><w:del w:id="2" w:author="Bo"><w:r><w:delText>old</w:delText></w:r></w:del><w:r><w:rPr><w:rPrChange w:author="Cy"><w:b/></w:rPrChange></w:rPr><w:t>text</w:t></w:r><w:instrText>x</w:instrText></w:p>'
+    d = S.zipped(**{"word/document.xml": body})
+    assert {k for k, _ in facts(d, "zip")} == {"tracked", "deleted"}
+    copy, gone, error = clean(d, "zip")
+    assert error is None and not facts(copy, "zip")
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(copy)) as z:
+        assert z.read("word/document.xml") == b"<w:p><w:r><w:t>new </w:t></w:r><w:r><w:rPr></w:rPr><w:t>text</w:t></w:r><w:instrText>x</w:instrText></w:p>"
+    copy, _, _ = clean(S.odt(), "zip")
+    assert not facts(copy, "zip")
+    rtf = rb"{\rtf1{\*\revtbl{Unknown;}{Ann;}}{\*\template C:\\x.dot}{\info{\title T}}{\revised\revauth1\revdttm5 new} {\deleted\revauthdel1 old {\b \'e9} \} w} \deleted gone \deleted0 kept\par}"
+    copy, _, _ = clean(rtf, "rtf")
+    assert copy == rb"{\rtf1{\info}{new} {} kept\par}" and not facts(copy, "rtf")
+
+
 def test_refusals():
     assert clean(b"x", "unknown")[2] == "unsupported" and clean(S.png(), "png")[2] == "nothing" and clean(S.png()[:-5], "png")[2] == "damaged"
     assert clean(S.pdf().replace(b"/Root", b"/Encrypt 9 0 R /Root"), "pdf")[2] == "locked" and clean(S.pdf() + b"/ByteRange", "pdf")[2] == "signed"
