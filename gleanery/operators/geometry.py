@@ -1,7 +1,8 @@
 """Pages: glyphs, fills and marks as boxes; what is covered, hidden, cut or said elsewhere.
 
 Boxes are (left, bottom, right, top) columns ``l, b, r, t``; every join is an equi-join on file, page and, where boxes
-meet many others, a band of the page.
+meet many others, a band of the page. All of them are sort-merge joins: painted rows pack so well that the size of their files
+says nothing of how large they are as a broadcast side.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def shared_area(p: str, q: str) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A join's side that is sorted and merged, whatever size the planner takes it for."""
+    return side.hint("merge")
+
+
 def _as(df: DataFrame, p: str) -> DataFrame:
     return df.select(*PAGE, *[F.col(c).alias(p + c) for c in df.columns if c not in PAGE])
 
@@ -47,7 +53,7 @@ def boxes_met(glyphs: DataFrame, boxes: DataFrame, share: float, of: str = "g")
     g = _as(_banded(glyphs), "g").withColumnRenamed("gband", "band")
     f = _as(_banded(boxes), "f").withColumnRenamed("fband", "band")
     lowest = F.floor(F.greatest(F.col("gb"), F.col("fb")) / BAND) == F.col("band")
-    return g.join(f, [*PAGE, "band"]).where(lowest & (shared_area("g", "f") >= share * area(of))).drop("band")
+    return g.join(merged(f), [*PAGE, "band"]).where(lowest & (shared_area("g", "f") >= share * area(of))).drop("band")
 
 
 def covered_glyphs(glyphs: DataFrame, fills: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def covered_pictures(pictures: DataFrame, fills: DataFrame, page_area: float) ->
 def scanned_pages(images: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages (file_id, page, with box ``l b r t`` in ``pages``) half of which or more one image covers: invisible text on them
     is what a reader of scans has put there."""
-    met = _as(images, "g").join(_as(pages, "f"), PAGE).where(shared_area("g", "f") >= OCR_SHARE * area("f"))
+    met = _as(images, "g").join(merged(_as(pages, "f")), PAGE).where(shared_area("g", "f") >= OCR_SHARE * area("f"))
     return met.select(*PAGE).distinct()
 
 
@@ -87,11 +93,11 @@ def hidden_glyphs(glyphs: DataFrame, fills: DataFrame, images: DataFrame, pages:
     """Glyphs that can't be seen, with the ``reason``: invisible (but not on scanned pages), off page, tiny, or white with nothing
     painted under them."""
     why = glyphs.withColumn("reason", hidden_reason(F.col("mode"), F.col("lightness"), F.col("t") - F.col("b"), F.col("off_page"))).where("reason is not null")
-    seen = why.join(scanned_pages(images, pages).withColumn("scanned", F.lit(True)), PAGE, "left").where("reason <> 'invisible' or scanned is null").drop("scanned")
+    seen = why.join(merged(scanned_pages(images, pages).withColumn("scanned", F.lit(True))), PAGE, "left").where("reason <> 'invisible' or scanned is null").drop("scanned")
     under = fills.select(*PAGE, "ordinal", *"lbrt").unionByName(images.select(*PAGE, "ordinal", *"lbrt"))
     white = seen.where("reason = 'white'")
     painted = boxes_met(white, under, INSIDE).where("fordinal < gordinal").select(*PAGE, F.col("gordinal").alias("ordinal")).distinct()
-    return seen.where("reason <> 'white'").unionByName(white.join(painted, [*PAGE, "ordinal"], "left_anti"))
+    return seen.where("reason <> 'white'").unionByName(white.join(merged(painted), [*PAGE, "ordinal"], "left_anti"))
 
 
 def link_words(glyphs: DataFrame, links: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def link_words(glyphs: DataFrame, links: DataFrame) -> DataFrame:
     g = _as(_banded(middle), "g").withColumnRenamed("gband", "band")
     f = _as(_banded(links), "f").withColumnRenamed("fband", "band")
     inside = F.col("gl").between(F.col("fl"), F.col("fr")) & F.col("gb").between(F.col("fb"), F.col("ft"))
-    met = g.join(f, [*PAGE, "band"]).where(inside)
+    met = g.join(merged(f), [*PAGE, "band"]).where(inside)
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gordinal", "gtext"))), lambda x: x["gtext"]), "")
     out = met.groupBy(*PAGE, F.col("fordinal").alias("ordinal"), F.col("fhref").alias("href")).agg(words.alias("words"))
     return out.withColumn("elsewhere", says_elsewhere(F.col("words"), host(F.col("href"))))
@@ -133,7 +139,7 @@ def latest_versions(objects: DataFrame) -> DataFrame:
 
 def taken_off(earlier: DataFrame, final: DataFrame) -> DataFrame:
     """Texts of an earlier revision that are not on the final page."""
-    return earlier.join(final, [*PAGE, "text"], "left_anti").select(*PAGE, "text").distinct()
+    return earlier.join(merged(final), [*PAGE, "text"], "left_anti").select(*PAGE, "text").distinct()
 
 
 def last_checkpoint(places: DataFrame, checkpoints: DataFrame) -> DataFrame:
