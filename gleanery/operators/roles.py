@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Role by format and depth (0: any), for labels that match; the first match counts. Labels are those of the decoders here.
 RULES = """
@@ -135,26 +139,65 @@ def descriptions(spark) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, format string, context string, pattern string, sentence string")
 
 
-def with_depth(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """``nodes`` (file_id, node_id, parent_id) with ``depth`` and ``ancestors`` (labels from the root down).
+#: Rows and ancestors of one output batch, about.
+ROWS, LABELS = 20_000, 1_000_000
+
+
+def with_depth(nodes: DataFrame, contexts: list[str] | None = None) -> DataFrame:
+    """``nodes`` (file_id, node_id, parent_id, label) with ``depth`` and ``ancestors`` (labels from the root down).
 
-    One join a level, each over the level before only; trees deeper than ``most`` levels are an error.
+    Each file's tree is walked once, in one task, however deep it is; a file has as many nodes as its decoder reads at most. Nodes that no
+    root leads to are left out. With ``contexts`` (label patterns, see ``described``) ancestors are only the first that fits each of
+    them, so that those of deep trees stay few; without any pattern no label is needed.
     """
-    from gleanery.shared import dropped, written
-
-    kept = nodes.columns
-    level = written(nodes.where("parent_id is null").withColumns({"depth": F.lit(0), "ancestors": F.array().cast("array<string>")}), "level")
-    out, n = level, 0
-    while True:
-        up = level.select(F.col("file_id").alias("uf"), F.col("node_id").alias("up"), F.concat("ancestors", F.array("label")).alias("ancestors"))
-        next_ = nodes.join(up, (F.col("file_id") == F.col("uf")) & (F.col("parent_id") == F.col("up"))).select(*kept, F.lit(n + 1).alias("depth"), "ancestors")
-        level = written(next_, "level")
-        if level.isEmpty():
-            dropped(level)
-            return out
-        out, n = out.unionByName(level), n + 1
-        if n > most:
-            raise ValueError(f"a tree has more than {most} levels")
+    from gleanery.operators.geometry import glob_pattern
+
+    tests = [F.when(F.col("label").rlike(glob_pattern(c)), i) for i, c in enumerate(contexts or [])]
+    fits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+    schema = T.StructType([*nodes.schema.fields, T.StructField("depth", T.IntegerType()), T.StructField("ancestors", T.ArrayType(T.StringType()))])
+    kept, whole, narrow = nodes.columns, contexts is None, contexts == []
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, ups = table["node_id"].to_pylist(), table["parent_id"].to_pylist()
+        labels = [None] * len(ids) if narrow else table["label"].to_pylist()
+        masks = [sum(1 << k for k in x) for x in table["_fits"].to_pylist()]
+        table = table.select(kept)
+        below: dict = {}
+        for i, up in enumerate(ups):
+            below.setdefault(up, []).append(i)
+        # Of each node: its row, depth, the node above, the patterns that fit above it or at it, and the labels that do above it.
+        found = [(i, 0, None, masks[i], ()) for i in below.pop(None, [])]
+        for at, (i, depth, above, mask, fitting) in enumerate(found):
+            if depth >= len(ids):
+                raise ValueError("a tree's nodes are one above the other in a circle")
+            if masks[i] & ~(found[above][3] if above is not None else 0):
+                fitting = (*fitting, labels[i])
+            found += [(k, depth + 1, at, mask | masks[k], fitting) for k in below.get(ids[i], [])]
+
+        def path(at: int) -> list:
+            out = []
+            while (at := found[at][2]) is not None:
+                out.append(labels[found[at][0]])
+            return out[::-1]
+
+        def batch(some: list[int], ancestors: list) -> pa.RecordBatch:
+            rows = table.take(pa.array([found[at][0] for at in some], pa.int64()))
+            rows = rows.append_column("depth", pa.array([found[at][1] for at in some], pa.int32()))
+            return rows.append_column("ancestors", pa.array(ancestors, pa.list_(pa.string()))).combine_chunks().to_batches()[0]
+
+        some, ancestors, n = [], [], 0
+        for at in range(len(found)):
+            some.append(at)
+            ancestors.append(path(at) if whole else found[at][4])
+            n += len(ancestors[-1])
+            if len(some) >= ROWS or n >= LABELS:
+                yield batch(some, ancestors)
+                some, ancestors, n = [], [], 0
+        if some:
+            yield batch(some, ancestors)
+
+    return nodes.withColumn("_fits", fits).groupBy("file_id").applyInArrow(walked, schema)
 
 
 def described(nodes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -107,6 +107,29 @@ def test_descriptions(spark):
     assert got["a", "width"] is None
 
 
+def test_depths_of_deep_trees(spark):
+    rows = [("f", n, n - 1 if n else None, "html" if n % 100 == 7 else f"t{n}") for n in range(300)]
+    rows = rows[::-1] + [("g", 0, None, ""), ("g", 1, 0, "head"), ("g", 2, 1, "html"), ("g", 3, 0, "p"), ("h", 1, 2, "a"), ("h", 2, 1, "b")]
+    nodes = spark.createDataFrame(rows, "file_id string, node_id long, parent_id long, label string").repartition(3)
+    got = {(r["file_id"], r["node_id"]): r for r in roles.with_depth(nodes).collect()}
+    assert len(got) == 304 and all(got["f", n]["depth"] == n for n in range(300)) and got["g", 2]["depth"] == 2
+    assert got["f", 299]["ancestors"] == ["html" if n % 100 == 7 else f"t{n}" for n in range(299)] and got["g", 2]["ancestors"] == ["", "head"]
+    few = {(r["file_id"], r["node_id"]): r["ancestors"] for r in roles.with_depth(nodes, ["h*", "html"]).collect()}
+    assert few["f", 7] == [] and few["f", 8] == few["f", 299] == ["html"] and few["g", 2] == ["head"] and few["g", 3] == []
+    assert all(r["ancestors"] == [] for r in roles.with_depth(nodes.drop("label"), []).collect())
+
+
+def test_described_nodes_of_deep_pages(spark, tmp_path):
+    import duckdb
+
+    from gleanery.plans import more
+
+    pages = [(1, "<html><head><title>t</title></head><body>" + "<div><p>" * 60 + "<a href='x'>y</a>"), (2, "<h1>z</h1>"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(more.SQL["described_nodes"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, more.described_nodes(spark, str(tmp_path)).select("sentence", "n").collect())) == sorted(want)
+
+
 def test_filled(spark):
     from gleanery.operators.reports import filled
 
