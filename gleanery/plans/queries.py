@@ -758,17 +758,14 @@ def html_node_tree(spark, sf_dir):
 
 @query()
 def node_depths(spark, sf_dir):
-    """Depth of every node of the pages' trees, by recursive SQL."""
+    """Depth of every node of the pages' trees, each walked once (a recursive query reads all nodes again for each level)."""
+    from gleanery.operators.roles import with_depth
     from gleanery.sources.engine import inspect, tables
     from gleanery.sources.files import from_table
 
     pages = from_table(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("format", F.lit("html"))
-    nodes = tables(inspect(pages, "format"))["nodes"]
-    return spark.sql("""
-      WITH RECURSIVE d(file_id, node_id, depth) AS (
-        SELECT file_id, node_id, 0 FROM {nodes} WHERE parent_id IS NULL
-        UNION ALL SELECT n.file_id, n.node_id, d.depth + 1 FROM {nodes} n JOIN d ON n.file_id = d.file_id AND n.parent_id = d.node_id
-      ) SELECT depth, count(*) AS n FROM d GROUP BY depth""", nodes=nodes)
+    nodes = tables(inspect(pages, "format"))["nodes"].select("file_id", "node_id", "parent_id")
+    return with_depth(nodes, []).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT * FROM {values(RECEIPTS, 'ttnttntb')} v(file_id, format, removed_bytes, removed_kinds, present_kinds, unchecked, error, complete)

@@ -130,6 +130,13 @@ def test_described_nodes_of_deep_pages(spark, tmp_path):
     assert sorted(map(tuple, more.described_nodes(spark, str(tmp_path)).select("sentence", "n").collect())) == sorted(want)
 
 
+def test_node_depths_of_deep_pages(spark, tmp_path):
+    from gleanery.plans import queries as plans
+
+    spark.createDataFrame([(1, "<p>" * 150), (2, "<h1>z</h1>"), (3, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert dict(plans.node_depths(spark, str(tmp_path)).collect()) == {0: 3, 1: 2} | {n: 1 for n in range(2, 151)}
+
+
 def test_filled(spark):
     from gleanery.operators.reports import filled
 
