@@ -320,6 +320,20 @@ def xml_attribute(xml: Column, tag: str, name: str) -> Column:
     return attribute(F.concat(F.lit("<x"), F.get(xml_elements(xml, tag), F.lit(0))["attributes"], F.lit(">")), name)
 
 
+# ---- elements of pages, which unlike XML have letters of any case, no prefixes and no end in the start tag
+
+
+def page_elements(html: Column, tag: str) -> Column:
+    """All elements of a tag of a page as they are written, from a start tag to the next end tag."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:[ \t\n\f\r][^<>]*)?>.*?</{tag}>"), F.lit(0))
+
+
+def page_title(html: Column) -> Column:
+    """The title of a page as its source has it, blanks around it gone and ``&amp;`` decoded; empty without one."""
+    said = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.replace(F.coalesce(F.regexp_replace(said, r"^\p{Zs}+|\p{Zs}+\z", ""), F.lit("")), F.lit("&amp;"), F.lit("&"))
+
+
 # ---- numbers at an offset of bytes
 
 

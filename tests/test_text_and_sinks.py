@@ -60,6 +60,21 @@ def test_xml(spark):
     assert [r["body"] for r in one(spark, lambda c: X.xml_elements(c, "p"), x)] == ["", "t"] and one(spark, lambda c: X.xml_text(c, "none"), x) is None
 
 
+def test_parts_of_pages(spark, tmp_path):
+    import duckdb
+
+    from gleanery.plans import more
+
+    pages = [
+        "<title>token = &quot;1&quot; &amp;lt; &#65;</title><p>a</p>", "<HTML><TITLE lang='x'> A &amp; B\u00a0\u3000</Title><P>a</P><p\nid=1>b</p><P>open", "<title>a<b>c</b> \n</title><p/>x</p><p />y</p><pre>z</pre>",
+        "<svg:title>t</svg:title><x:p>a</x:p><title/>u</title><p>a</p >", "<titles>v</title><p>a<p>b</p></p><p\x0bq>c</p>", "<title>\t&lt;&nbsp;</title>", "<title a='<'>w</title><title>2</title>", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(more.SQL["xml_parts"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in more.xml_parts(spark, str(tmp_path)).select("page_id", "title", "paragraphs").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == len(pages)
+
+
 def test_batches(spark):
     rows = spark.createDataFrame([("/a/./b",), ("/a//b",), ("file:///a/c/../b",), ("/out/x",), ("/outer",)], "path string")
     assert sorted(r["path"] for r in batch.collected(rows, "/out/").collect()) == ["/a/b", "/outer"]
